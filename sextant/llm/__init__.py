@@ -1,0 +1 @@
+"""Operators for training-data pipelines; nothing outside this folder imports them."""
