@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import copies, lookalikes, splitting
+from sextant.llm import copies, lookalikes, sketching, splitting
 from sextant.llm.sql import SQL
 from sextant.sources.tables import table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sketching.near_duplicates(table(spark, d, "chunks"))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return sketching.duplicate_classes(table(spark, d, "chunks"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.renumbered(splitting.split_oversized(table(spark, d, "chunks")))
 
@@ -43,4 +51,4 @@ def p6_normalised(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalised(one.select("chunk_id", "text"), "text").select("chunk_id", "text_normal", "text_changes")
 
 
-QUERIES = {f.__name__: f for f in (p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p6_found, p6_normalised)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p6_found, p6_normalised)}

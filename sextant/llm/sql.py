@@ -28,6 +28,16 @@ SELECT 'raw_identity' AS basis, count(*) AS n_groups, CAST(coalesce(sum(n), 0) A
 UNION ALL SELECT 'normalised_identity', count(*), CAST(coalesce(sum(n_copies), 0) AS BIGINT) FROM g WHERE n_copies > 1"""
 
 
+#: Pairs that share a shingle, counted; exact, for all chunks.
+_P2 = rf"""{_RECORDS},
+w AS (SELECT chunk_id, record, regexp_extract_all(lower(text), '[a-z0-9]+') t FROM k),
+s AS (SELECT chunk_id, record, list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) x FROM w WHERE len(t) >= 3),
+e AS (SELECT chunk_id, unnest(x) g FROM s),
+n AS (SELECT a.chunk_id a, b.chunk_id b, count(*) c FROM e a JOIN e b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM n JOIN s p ON p.chunk_id = a JOIN s q ON q.chunk_id = b
+WHERE c >= 0.7 * (len(p.x) + len(q.x) - c) AND p.record <> q.record"""
+
+
 def _class(chars: str) -> str:
     return "[" + "".join(rf"\x{{{ord(c):x}}}" for c in chars) + "]"
 
@@ -46,4 +56,4 @@ def _odd(text: str) -> str:
 _P6 = f"""SELECT 'chunks' AS source_table, chunk_id AS record_key FROM ({_LATEST}) WHERE {_odd('text')}
 UNION ALL SELECT DISTINCT 'hyphen_decisions', CAST(decision_id AS VARCHAR) FROM hyphen_decisions WHERE decision_id IS NOT NULL AND {_odd('sentence')}"""
 
-SQL = {"p3_found": _P3, "p4_found": _P4, "p4_records": _P4_RECORDS, "p4_group_counts": _P4_COUNTS, "p6_found": _P6}
+SQL = {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p4_records": _P4_RECORDS, "p4_group_counts": _P4_COUNTS, "p6_found": _P6}
