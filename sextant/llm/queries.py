@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import copies, lookalikes, sketching, splitting
+from sextant.llm import copies, leaks, lookalikes, shapes, sketching, splitting
 from sextant.llm.sql import SQL
 from sextant.sources.tables import table
 
@@ -51,4 +51,24 @@ def p6_normalised(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalised(one.select("chunk_id", "text"), "text").select("chunk_id", "text_normal", "text_changes")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p6_found, p6_normalised)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_queries"))
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    tiled = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_queries"))
+    return tiled.filter((F.col("longest") >= leaks.RUN) | (F.col("covered") >= 0.5))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    common = shapes.common_words(table(spark, d, "wordlist"))
+    s = shapes.statistics(table(spark, d, "documents"), common)
+    rounded = ["mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share"]
+    return s.select("doc_id", "n_words", *[F.bround(c, 6).alias(c) for c in rounded])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shapes.shaped(table(spark, d, "documents"), table(spark, d, "wordlist")).filter("shape <> 'prose'").select("doc_id", "shape")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p6_found, p6_normalised, p9_found, p9_leaks, p10_statistics, p10_found)}

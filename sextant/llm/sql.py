@@ -56,4 +56,24 @@ def _odd(text: str) -> str:
 _P6 = f"""SELECT 'chunks' AS source_table, chunk_id AS record_key FROM ({_LATEST}) WHERE {_odd('text')}
 UNION ALL SELECT DISTINCT 'hyphen_decisions', CAST(decision_id AS VARCHAR) FROM hyphen_decisions WHERE decision_id IS NOT NULL AND {_odd('sentence')}"""
 
-SQL = {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p4_records": _P4_RECORDS, "p4_group_counts": _P4_COUNTS, "p6_found": _P6}
+#: Runs of 13 words, exact, for all documents.
+_P9 = r"""WITH q AS (SELECT DISTINCT item_id, unnest([query, passage]) t FROM eval_queries),
+qw AS (SELECT item_id, regexp_extract_all(lower(t), '[a-z0-9]+') w FROM q WHERE t IS NOT NULL),
+qr AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') run FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) i FROM qw)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w FROM documents WHERE text IS NOT NULL),
+dr AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) i FROM dw))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN qr USING (run)"""
+
+_P10 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+f AS (SELECT doc_id, t,
+  list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{M}\p{N}'']+'), lambda x: x <> '') w,
+  list_filter(regexp_split_to_array(t, '\s*\n\s*'), lambda x: trim(x) <> '') l,
+  length(regexp_replace(t, '\s+', '', 'g')) ink, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\s]+', '', 'g')) sym FROM d),
+c AS (SELECT list(DISTINCT lower(word)) c FROM wordlist WHERE common)
+SELECT doc_id, CAST(len(w) AS INT) AS n_words, round_even(coalesce((ink - sym) / nullif(len(w), 0), 0), 6) AS mean_word_length,
+  round_even(coalesce(sym / nullif(ink, 0), 0), 6) AS symbol_ratio,
+  round_even(coalesce(len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;\x{2026}]["''\x{201d}\x{2019}\x{bb})\]]*$'))) / nullif(len(l), 0), 0), 6) AS punct_line_share,
+  round_even(coalesce(len(list_filter(w, lambda x: list_contains(c, x))) / nullif(len(w), 0), 0), 6) AS common_word_share
+FROM f, c"""
+
+SQL = {"p9_found": _P9, "p10_statistics": _P10, "p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p4_records": _P4_RECORDS, "p4_group_counts": _P4_COUNTS, "p6_found": _P6}
