@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents made per shape to learn from; the only bounded part, all else covers every document.
-TRAIN_PER_SHAPE = 400
+TRAIN_PER_SHAPE = 900
 #: Most entries a list of common words may have to be used as literals.
 COMMON_LIMIT = 5_000
 
-_ITEM = r"^\s*([-*+>\x{2022}\x{25aa}\x{25e6}\x{2013}\x{b7}\x{25cf}\x{2023}\x{2192}\x{2713}]|\[[ xX]?\]|\(?\w{1,4}[.)\]:](?=\s))\s*\S"
-_ROW = r"(\|.*\|)|(\t[^\t]*\t)|(\S {2,}\S.*\S {2,}\S)|(^[^,]*(,[^,]*){3,}$)|(^[^;]*(;[^;]*){3,}$)|(^\+[-=+]+\+$)|(^[-=| :+]{5,}$)"
+_ITEM = r"^\s*([-*+>](?=\s)|[\x{2022}\x{25aa}\x{25e6}\x{2013}\x{b7}\x{25cf}\x{2023}\x{2192}\x{2713}]|\[[ xX]?\]|\(?\w{1,4}[.)\]:](?=\s)|\d+(\.\d+)+\.?(?=\s))\s*\S"
+_ROW = r"(\|.*\|)|(\t[^\t]*\t)|(\S {2,}\S.*\S {2,}\S)|(^[^,]{0,32}(,[^,]{0,32}){2,}$)|(^[^;]{0,48}(;[^;]{0,48}){2,}$)|(^\+[-=+]+\+$)|(^[-=| :+]{5,}$)"
 
 
 def statistics(documents: DataFrame, common: list[str]) -> DataFrame:
@@ -33,8 +33,7 @@ def statistics(documents: DataFrame, common: list[str]) -> DataFrame:
         F.length("text").alias("n"),
         F.length(F.regexp_replace("text", r"\s+", "")).alias("ink"),
         F.length(F.regexp_replace("text", r"[\p{L}\p{M}\p{N}\s]+", "")).alias("sym"),
-        F.length(F.regexp_replace("text", r"[^\p{N}]+", "")).alias("dig"),
-        F.length(F.regexp_replace("text", r"[\x00-\x7f]+", "")).alias("high"),
+        F.length(F.regexp_replace("text", r"[\p{L}\p{M}\p{N}\s.,;:|+=%/-]+", "")).alias("stray"),
     )
 
     def share(a: Column, b: Column) -> Column:
@@ -54,6 +53,7 @@ def statistics(documents: DataFrame, common: list[str]) -> DataFrame:
         n_w.alias("n_words"),
         share(letters, n_w).alias("mean_word_length"),
         share(F.col("sym"), F.col("ink")).alias("symbol_ratio"),
+        share(F.col("stray"), F.col("ink")).alias("stray_ratio"),
         share(F.size(F.filter("l", lambda x: x.rlike(r"[.!?:;\x{2026}][\"'\x{201d}\x{2019}\x{bb})\]]*$"))), n_l).alias("punct_line_share"),
         share(F.size(F.filter("w", lambda w: w.isin(*common))), n_w).alias("common_word_share"),
         n_l.alias("n_lines"),
@@ -61,17 +61,16 @@ def statistics(documents: DataFrame, common: list[str]) -> DataFrame:
         share(chars(item), F.col("n")).alias("item_char_share"),
         share(F.size(row), n_l).alias("row_line_share"),
         share(chars(prose), F.col("n")).alias("prose_char_share"),
-        share(F.col("dig"), F.col("ink")).alias("digit_ratio"),
-        share(F.col("high"), F.col("n")).alias("non_ascii_ratio"),
-        share(F.size(F.array_distinct("l")), n_l).alias("distinct_line_share"),
-        share(F.size(F.array_distinct("w")), n_w).alias("distinct_word_share"),
-        share(F.col("ink"), n_l).alias("mean_line_length"),
+        share(F.log(F.greatest(F.size(F.array_distinct("w")), F.lit(1))), F.log(F.greatest(n_w, F.lit(2)))).alias("log_type_token"),
+        share(F.size(F.array_distinct(F.split("text", r"[.!?]\s+|\n"))), F.size(F.split("text", r"[.!?]\s+|\n"))).alias("distinct_sentence_share"),
+        F.least(share(n_w, n_l), F.lit(60.0)).alias("words_per_line"),
+        share(F.regexp_count("text", F.lit(r"\p{L}[.!?\x{2026}][\"'\x{201d}\x{2019}\x{bb})]*(\s|$)")), n_w).alias("sentence_end_ratio"),
     )
 
 
 FEATURES = [
-    "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share", "item_line_share", "item_char_share", "row_line_share",
-    "prose_char_share", "digit_ratio", "non_ascii_ratio", "distinct_line_share", "distinct_word_share", "mean_line_length",
+    "common_word_share", "punct_line_share", "stray_ratio", "item_char_share", "row_line_share", "prose_char_share",
+    "distinct_sentence_share", "words_per_line", "sentence_end_ratio",
 ]
 
 
@@ -86,9 +85,9 @@ def common_words(wordlist: DataFrame) -> list[str]:
 # ---- labelled documents -------------------------------------------------------------------------------------------
 
 
-def _sentence(r: random.Random, common: list[str], words: list[str]) -> str:
+def _sentence(r: random.Random, common: list[str], words: list[str], share: float = 0.42) -> str:
     n = r.randint(6, 24)
-    out = [r.choice(common) if r.random() < 0.42 else r.choice(words) for _ in range(n)]
+    out = [r.choice(common) if r.random() < share else r.choice(words) for _ in range(n)]
     if r.random() < 0.4:
         out[n // 2] += ","
     if r.random() < 0.15:
@@ -112,14 +111,16 @@ def _phrase(r: random.Random, common: list[str], words: list[str], most: int = 8
 
 
 def _list(r: random.Random, common: list[str], words: list[str], n: int) -> str:
-    style = r.choice(["- ", "* ", "• ", "{}. ", "{}) ", "({}) ", "[ ] ", "[x] ", "– ", "", "+ "])
+    if r.random() < 0.1:
+        return "\n".join(f"{i // 9 + 1}.{i % 9 + 1}  {_phrase(r, common, words, 4).capitalize()} {'.' * r.randint(3, 14)} {i * 3 + 4}" for i in range(n))
+    style = r.choice(["", "", "", "- ", "* ", "• ", "{}. ", "{}) ", "({}) ", "[ ] ", "[x] ", "– ", "", "+ "])
     end = r.choice(["", "", ";", "."])
     most = r.choice([5, 8, 11])
     return "\n".join(style.format(i + 1) + _phrase(r, common, words, most) + end for i in range(n))
 
 
 def _table(r: random.Random, words: list[str]) -> str:
-    cols, rows, style = r.randint(3, 7), r.randint(4, 30), r.choice(["pipe", "bar", "csv", "semi", "tab", "grid", "wide"])
+    cols, rows, style = r.randint(3, 7), r.randint(4, 30), r.choice(["pipe", "bar", "csv", "semi", "tab", "grid", "wide", "grid", "keys", "keys"])
 
     def cell() -> str:
         return r.choice([str(r.randint(0, 5000)), f"{r.random() * 100:.1f}%", "n/a", "yes", "no", "", f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/2024", " ".join(r.choices(words, k=2)), r.choice(words)])
@@ -132,16 +133,21 @@ def _table(r: random.Random, words: list[str]) -> str:
     if style == "pipe":
         data.insert(1, ["---"] * cols)
         return "\n".join("| " + " | ".join(x) + " |" for x in data)
+    if style == "keys":
+        data = [[*x, *x[: r.randint(0, 3)]] for x in data]
+        return "\n".join("; ".join(f"{h}={c}" for h, c in zip(data[0], x)) for x in data[1:])
     width = 18
     flat = [[c[:width].ljust(width) for c in x] for x in data]
     if style == "wide":
         return "\n".join("  ".join(x).rstrip() for x in flat)
     rule = "+" + "+".join(["-" * (width + 2)] * cols) + "+"
-    return "\n".join([rule, *[y for x in flat for y in ("| " + " | ".join(x) + " |", rule)]])
+    every = r.random() < 0.3
+    body = ["| " + " | ".join(x) + " |" for x in flat]
+    return "\n".join([rule, *[y for x in body for y in (x, rule)]] if every else [rule, body[0], rule, *body[1:], rule])
 
 
 def _junk(r: random.Random, common: list[str], words: list[str]) -> str:
-    kind = r.randrange(9)
+    kind = r.choice([0, 1, 2, 3, 4, 5, 5, 5, 6, 7, 8, 9, 10, 11, 11])
     letters = "abcdefghijklmnopqrstuvwxyz"
     if kind == 0:
         return " ".join("".join(r.choices(letters, k=r.randint(2, 12))) for _ in range(r.randint(20, 150)))
@@ -150,7 +156,7 @@ def _junk(r: random.Random, common: list[str], words: list[str]) -> str:
     if kind == 2:
         return _wrap(base64.b64encode(r.randbytes(r.randint(100, 900))).decode(), 76) if r.random() < 0.5 else base64.b64encode(r.randbytes(r.randint(100, 900))).decode()
     if kind == 3:
-        nav = ["Home", "Menu", "Search...", "Next >>", "<< Previous", "Contact", "Archive", "Subscribe", "Topics", "Language: EN", "Login", "Print", "Share", "Home > Topics > Models", "Cookie settings", "Back to top"]
+        nav = ["Home", "Menu", "Search...", "Next >>", "<< Previous", "Contact", "Archive", "Subscribe", "Topics", "Language: EN", "Login", "Print", "Share", "Home > Topics > Models", "Cookie settings", "Back to top", "Log in", "Accept all", "Print | Save | Send", "Go to the top", "All about us"]
         return r.choice(["\n", " | ", "\n"]).join(r.choices(nav, k=r.randint(12, 70)))
     if kind == 4:
         s = _sentence(r, common, words)
@@ -165,6 +171,13 @@ def _junk(r: random.Random, common: list[str], words: list[str]) -> str:
     if kind == 7:
         w = r.choices(words, k=r.randint(1, 4))
         return " ".join(w * r.randint(20, 120))
+    if kind == 11:  # letters out of order
+        text = " ".join(_sentence(r, common, words) for _ in range(r.randint(4, 20)))
+        return " ".join("".join(r.sample(w, len(w))) if r.random() < 0.9 else w for w in text.split(" "))
+    if kind == 8:
+        return " ".join(r.choice("&~<>/^@=\\{}%|#*+-_") * r.randint(1, 10) for _ in range(r.randint(15, 120)))
+    if kind == 9:
+        return "\n".join([f"{r.choice(words)} 0x{r.randrange(65536):04x}"] * r.randint(10, 90))
     return "".join(r.choices("0123456789abcdef", k=r.randint(150, 1200))) if r.random() < 0.5 else "".join("%%%02X" % r.randrange(256) if r.random() < 0.7 else r.choice(letters) for _ in range(r.randint(60, 500)))
 
 
@@ -173,7 +186,9 @@ def labelled_documents(common: list[str], words: list[str], per_shape: int = TRA
     r = random.Random(seed)
     out: list[tuple[int, str, str]] = []
     for i in range(per_shape):
-        s = [_sentence(r, common, words) for _ in range(r.randint(3, 40))]
+        own, share = r.sample(words, min(len(words), r.choice([25, 60, 150, 600]))), r.uniform(0.22, 0.55)
+        s = [_sentence(r, common, own, share) for _ in range(r.choice([3, 8, 15, 40, 150]))]
+        s += r.sample(s, len(s) // r.choice([4, 8, 1000]))  # formulaic prose says a sentence again
         text = " ".join(s)
         if i % 4 == 1:
             text = _wrap(text, r.choice([50, 60, 72, 90]))
@@ -182,11 +197,14 @@ def labelled_documents(common: list[str], words: list[str], per_shape: int = TRA
             text = text + "\n" + _list(r, common, words, k) if len(text) > 160 * k else text
         if i % 4 == 3:
             text = "\n\n".join(" ".join(s[a : a + 4]) for a in range(0, len(s), 4))
+        if i % 9 == 0:
+            text = "".join(c + " " * (c == " " and r.random() < 0.05) for c in text)
         if i % 5 == 0:
             text = _phrase(r, common, words, 4).capitalize() + "\n" + text
         out.append((len(out), text, "prose"))
+        own = r.sample(words, min(len(words), r.choice([25, 60, 150, 600])))
         head = _sentence(r, common, words) + "\n" if r.random() < 0.5 else ""
-        body = _list(r, common, words, r.randint(8, 60))
+        body = _list(r, common, own, r.randint(6, 60))
         tail = "\n" + _sentence(r, common, words) if r.random() < 0.2 else ""
         out.append((len(out), head + body + tail, "list"))
         head = _sentence(r, common, words) + "\n" if r.random() < 0.3 else ""
@@ -259,7 +277,7 @@ def induce(x: np.ndarray, shape: np.ndarray, names: list[str], order: tuple[str,
             ok = _covers(x, rule, names) & left
             held = _covers(x[b], rule, names)
             right = (shape[b][held] == target).sum()
-            if not rule or not held.any() or right * 2 <= held.sum() or right < 3:
+            if not rule or not held.any() or right * 2 <= held.sum() or right < 2:
                 break
             out.append((rule, target))
             left &= ~ok
