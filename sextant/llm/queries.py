@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import copies, leaks, lookalikes, shapes, sketching, splitting
+from sextant.llm import copies, leaks, lookalikes, packing, pairs, shapes, sketching, splitting
 from sextant.llm.sql import SQL
 from sextant.sources.tables import table
 
@@ -41,6 +41,14 @@ def p4_group_counts(spark: SparkSession, d: str) -> DataFrame:
     return copies.group_counts(table(spark, d, "chunks"))
 
 
+def p5_defects(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(*[table(spark, d, t) for t in ("answers", "requests", "wordlist")])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.main_defect(p5_defects(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.affected(table(spark, d, "chunks"), table(spark, d, "hyphen_decisions"))
 
@@ -51,6 +59,14 @@ def p6_normalised(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalised(one.select("chunk_id", "text"), "text").select("chunk_id", "text_normal", "text_changes")
 
 
+def p8_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return packing.assign(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.assign(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_queries"))
 
@@ -71,4 +87,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shapes.shaped(table(spark, d, "documents"), table(spark, d, "wordlist")).filter("shape <> 'prose'").select("doc_id", "shape")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p6_found, p6_normalised, p9_found, p9_leaks, p10_statistics, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p5_defects, p5_found, p6_found, p6_normalised, p8_assignment, p8_fill, p9_found, p9_leaks, p10_statistics, p10_found)}
