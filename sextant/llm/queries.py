@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import copies, leaks, lookalikes, packing, pairs, shapes, sketching, splitting
+from sextant.llm import copies, leaks, lookalikes, packing, pairs, scans, shapes, sketching, splitting
 from sextant.llm.sql import SQL
 from sextant.sources.tables import table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(table(spark, d, "lines"), table(spark, d, "wordlist"))
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "lines"), table(spark, d, "wordlist"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return sketching.near_duplicates(table(spark, d, "chunks"))
 
@@ -87,4 +95,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shapes.shaped(table(spark, d, "documents"), table(spark, d, "wordlist")).filter("shape <> 'prose'").select("doc_id", "shape")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p5_defects, p5_found, p6_found, p6_normalised, p8_assignment, p8_fill, p9_found, p9_leaks, p10_statistics, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_classes, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p5_defects, p5_found, p6_found, p6_normalised, p8_assignment, p8_fill, p9_found, p9_leaks, p10_statistics, p10_found)}
