@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sextant.plans import orphans
+from sextant.plans import graph, orphans, retrieval, text
 
-MODULES = [orphans]
+MODULES = [text, retrieval, graph, orphans]
 
 
 def queries() -> dict:
