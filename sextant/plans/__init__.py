@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sextant.plans import graph, orphans, retrieval, text
+from sextant.plans import graph, grounding, orphans, retrieval, text
 
-MODULES = [text, retrieval, graph, orphans]
+MODULES = [text, retrieval, graph, grounding, orphans]
 
 
 def queries() -> dict:
