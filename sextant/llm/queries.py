@@ -86,8 +86,8 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     common = shapes.common_words(table(spark, d, "wordlist"))
-    s = shapes.statistics(table(spark, d, "documents"), common)
     rounded = ["mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share"]
+    s = shapes.statistics(table(spark, d, "documents"), common, ["n_words", *rounded])
     return s.select("doc_id", "n_words", *[F.bround(c, 6).alias(c) for c in rounded])
 
 

@@ -19,55 +19,63 @@ _ITEM = r"^\s*([-*+>](?=\s)|[\x{2022}\x{25aa}\x{25e6}\x{2013}\x{b7}\x{25cf}\x{20
 _ROW = r"(\|.*\|)|(\t[^\t]*\t)|(\S {2,}\S.*\S {2,}\S)|(^[^,]{0,32}(,[^,]{0,32}){2,}$)|(^[^;]{0,48}(;[^;]{0,48}){2,}$)|(^\+[-=+]+\+$)|(^[-=| :+]{5,}$)"
 
 
-def statistics(documents: DataFrame, common: list[str]) -> DataFrame:
-    """One row of statistics per document, computed natively.
+def statistics(documents: DataFrame, common: list[str], names: list[str] | None = None) -> DataFrame:
+    """doc_id and one row of statistics per document, computed natively; of ``names`` only, where given.
 
-    doc_id, n_words, mean_word_length, symbol_ratio, punct_line_share, common_word_share and the shares the rules use.
-    A null text counts as empty; ratios of an empty text are 0. Extra columns are ignored.
+    Each pass over a text is made once, and only if a statistic asked for needs it: what the passes find goes
+    through a generator, behind which no later filter or projection makes them run again. A null text counts as
+    empty; ratios of an empty text are 0. Extra columns are ignored.
     """
-    raw = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = raw.select(
-        "doc_id", "text",
-        F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}']+"), lambda w: w != "").alias("w"),
-        F.filter(F.split("text", r"\s*\n\s*"), lambda x: F.trim(x) != "").alias("l"),
-        F.length("text").alias("n"),
-        F.length(F.regexp_replace("text", r"\s+", "")).alias("ink"),
-        F.length(F.regexp_replace("text", r"[\p{L}\p{M}\p{N}\s]+", "")).alias("sym"),
-        F.length(F.regexp_replace("text", r"[\p{L}\p{M}\p{N}\s.,;:|+=%/-]+", "")).alias("stray"),
-    )
+    wanted = STATISTICS if names is None else [n for n in STATISTICS if n in names]
+    text, lines = F.col("text"), F.filter(F.split("text", r"\s*\n\s*"), lambda x: x != "")
+    found = {
+        "w": F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}']+"), lambda w: w != ""),
+        "l": lines,
+        "k": F.transform(lines, lambda x: F.when(x.rlike(_ITEM) & ~x.startswith("|"), 2).when(x.rlike(_ROW), 1).when(F.length(x) >= 40, 3).otherwise(0)),
+        "n": F.length(text),
+        "ink": F.length(F.regexp_replace("text", r"\s+", "")),
+        "sym": F.length(F.regexp_replace("text", r"[\p{L}\p{M}\p{N}\s]+", "")),
+        "stray": F.length(F.regexp_replace("text", r"[\p{L}\p{M}\p{N}\s.,;:|+=%/-]+", "")),
+        "ends": F.regexp_count("text", F.lit(r"\p{L}[.!?\x{2026}][\"'\x{201d}\x{2019}\x{bb})]*(\s|$)")),
+        "s": F.split("text", r"[.!?]\s+|\n"),
+    }
 
     def share(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
+    def chars(code: int) -> Column:
+        return F.aggregate(F.zip_with("l", "k", lambda x, k: F.when(k == code, F.length(x)).otherwise(0)), F.lit(0), lambda a, x: a + x)
+
+    def lines_of(code: int) -> Column:
+        return F.size(F.filter("k", lambda k: k == code))
+
     n_w, n_l = F.size("w"), F.size("l")
-    letters = F.col("ink") - F.col("sym")
-    item = F.filter("l", lambda x: x.rlike(_ITEM) & ~x.rlike(r"^\s*\|"))
-    row = F.filter("l", lambda x: x.rlike(_ROW))
-    prose = F.filter("l", lambda x: (F.length(x) >= 40) & ~x.rlike(_ROW) & ~x.rlike(_ITEM))
-
-    def chars(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-
-    return base.select(
-        "doc_id",
-        n_w.alias("n_words"),
-        share(letters, n_w).alias("mean_word_length"),
-        share(F.col("sym"), F.col("ink")).alias("symbol_ratio"),
-        share(F.col("stray"), F.col("ink")).alias("stray_ratio"),
-        share(F.size(F.filter("l", lambda x: x.rlike(r"[.!?:;\x{2026}][\"'\x{201d}\x{2019}\x{bb})\]]*$"))), n_l).alias("punct_line_share"),
-        share(F.size(F.filter("w", lambda w: w.isin(*common))), n_w).alias("common_word_share"),
-        n_l.alias("n_lines"),
-        share(F.size(item), n_l).alias("item_line_share"),
-        share(chars(item), F.col("n")).alias("item_char_share"),
-        share(F.size(row), n_l).alias("row_line_share"),
-        share(chars(prose), F.col("n")).alias("prose_char_share"),
-        share(F.log(F.greatest(F.size(F.array_distinct("w")), F.lit(1))), F.log(F.greatest(n_w, F.lit(2)))).alias("log_type_token"),
-        share(F.size(F.array_distinct(F.split("text", r"[.!?]\s+|\n"))), F.size(F.split("text", r"[.!?]\s+|\n"))).alias("distinct_sentence_share"),
-        F.least(share(n_w, n_l), F.lit(60.0)).alias("words_per_line"),
-        share(F.regexp_count("text", F.lit(r"\p{L}[.!?\x{2026}][\"'\x{201d}\x{2019}\x{bb})]*(\s|$)")), n_w).alias("sentence_end_ratio"),
-    )
+    every = {
+        "n_words": (n_w, "w"),
+        "mean_word_length": (share(F.col("ink") - F.col("sym"), n_w), "w ink sym"),
+        "symbol_ratio": (share(F.col("sym"), F.col("ink")), "sym ink"),
+        "punct_line_share": (share(F.size(F.filter("l", lambda x: x.rlike(r"[.!?:;\x{2026}][\"'\x{201d}\x{2019}\x{bb})\]]*$"))), n_l), "l"),
+        "common_word_share": (share(F.size(F.filter("w", lambda w: w.isin(*common))), n_w), "w"),
+        "stray_ratio": (share(F.col("stray"), F.col("ink")), "stray ink"),
+        "n_lines": (n_l, "l"),
+        "item_char_share": (share(chars(2), F.col("n")), "l k n"),
+        "row_line_share": (share(lines_of(1), n_l), "l k"),
+        "prose_char_share": (share(chars(3), F.col("n")), "l k n"),
+        "distinct_sentence_share": (share(F.size(F.array_distinct("s")), F.size("s")), "s"),
+        "words_per_line": (F.least(share(n_w, n_l), F.lit(60.0)), "w l"),
+        "sentence_end_ratio": (share(F.col("ends"), n_w), "ends w"),
+    }
+    needs = {x for n in wanted for x in every[n][1].split()}
+    raw = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    passed = raw.select("doc_id", F.explode(F.array(F.struct(*[v.alias(k) for k, v in found.items() if k in needs]))).alias("f")).select("doc_id", "f.*")
+    done = passed.select("doc_id", F.explode(F.array(F.struct(*[every[n][0].alias(n) for n in wanted]))).alias("f"))
+    return done.select("doc_id", "f.*")
 
 
+STATISTICS = [
+    "n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share", "stray_ratio", "n_lines", "item_char_share", "row_line_share",
+    "prose_char_share", "distinct_sentence_share", "words_per_line", "sentence_end_ratio",
+]
 FEATURES = [
     "common_word_share", "punct_line_share", "stray_ratio", "item_char_share", "row_line_share", "prose_char_share",
     "distinct_sentence_share", "words_per_line", "sentence_end_ratio",
@@ -296,13 +304,13 @@ def learned_case(wordlist: DataFrame, per_shape: int = TRAIN_PER_SHAPE) -> tuple
     common = common_words(wordlist)
     words = sorted(r["word"] for r in wordlist.filter("NOT common AND length(word) > 3").select("word").distinct().limit(COMMON_LIMIT).collect()) or ["word"]
     made = pd.DataFrame(labelled_documents(common, words, per_shape), columns=["doc_id", "text", "shape"])
-    stats = statistics(spark.createDataFrame(made[["doc_id", "text"]]), common).toPandas().set_index("doc_id").sort_index()
+    stats = statistics(spark.createDataFrame(made[["doc_id", "text"]]), common, FEATURES).toPandas().set_index("doc_id").sort_index()
     rules = induce(stats[FEATURES].to_numpy(float), made["shape"].to_numpy(str), FEATURES)
     return to_case(rules), common
 
 
 def shaped(documents: DataFrame, wordlist: DataFrame) -> DataFrame:
-    """The statistics of every document with its ``shape``: prose, list, table or junk (an empty text is junk)."""
+    """doc_id, the statistics the learned rules use, and ``shape``: prose, list, table or junk (a text without words is junk)."""
     case, common = learned_case(wordlist)
-    s = statistics(documents, common)
+    s = statistics(documents, common, ["n_words", *[f for f in FEATURES if f in case]])
     return s.withColumn("shape", F.when(F.col("n_words") == 0, "junk").otherwise(F.expr(case)))
