@@ -11,7 +11,8 @@ from sextant.runtime import latest
 LABELS = ["suggested action", "risks", "actors", "evidence"]
 #: Letters whose counts make the cheap invariant.
 LETTERS = "aeiostnrdlcm"
-_LABEL = r"(?:(?:^|[\n|])[ \t*\x{2022}\x{b7}>-]*(?=(?:" + "|".join(LABELS) + r")\b)|(?<=\s)(?=(?:" + "|".join(LABELS) + r")\s*:))"
+_AT_START = r"(?:^|[\n|])[ \t*\x{2022}\x{b7}>-]*(?=(?:" + "|".join(LABELS) + r")\b)"
+_ANYWHERE = _AT_START + r"|(?<=\s)(?=(?:" + "|".join(LABELS) + r")\s*:)"
 
 
 def bare(text: Column) -> Column:
@@ -32,7 +33,12 @@ def invariants(text: Column) -> Column:
 def identity(text: Column, unit_type: Column) -> Column:
     """Key of the record a text stands for: its bare text, for actions with the labelled fields in sorted order."""
     low = F.lower(text)
-    fields = F.array_sort(F.filter(F.transform(F.split(low, _LABEL), bare), lambda x: x != ""))
+
+    def cut(pattern: str) -> Column:
+        return F.array_sort(F.filter(F.transform(F.split(low, pattern), bare), lambda x: x != ""))
+
+    # labels inside a line count only in texts that have lost their line breaks
+    fields = F.when(F.size(cut(_AT_START)) > 1, cut(_AT_START)).otherwise(cut(_ANYWHERE))
     return F.when(unit_type == "action", F.concat(F.lit("fields:"), F.array_join(fields, "|"))).otherwise(F.concat(F.lit("text:"), bare(text)))
 
 

@@ -12,12 +12,10 @@ _P3 = rf"SELECT chunk_id FROM ({_LATEST}) WHERE len(regexp_extract_all(text, '{N
 _LABELS = "suggested action|risks|actors|evidence"
 _RECORDS = rf"""
 WITH c AS ({_LATEST}),
-f AS (SELECT chunk_id, unit_type, text,
-   list_sort(list_filter(list_transform(string_split(
-     regexp_replace(regexp_replace(lower(text), '(^|[\n|])[ \t*\x{{2022}}\x{{b7}}>-]*(({_LABELS})\b)', chr(1) || '\2', 'g'),
-                    '(\s)(({_LABELS})\s*:)', chr(1) || '\2', 'g'), chr(1)),
-     lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '')) fields
-   FROM c WHERE text IS NOT NULL),
+m AS (SELECT chunk_id, unit_type, text, regexp_replace(lower(text), '(^|[\n|])[ \t*\x{{2022}}\x{{b7}}>-]*(({_LABELS})\b)', chr(1) || '\2', 'g') a FROM c WHERE text IS NOT NULL),
+g2 AS (SELECT chunk_id, unit_type, text, list_sort(list_filter(list_transform(string_split(a, chr(1)), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '')) f1,
+   list_sort(list_filter(list_transform(string_split(regexp_replace(a, '(\s)(({_LABELS})\s*:)', chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '')) f2 FROM m),
+f AS (SELECT chunk_id, unit_type, text, CASE WHEN len(f1) > 1 THEN f1 ELSE f2 END fields FROM g2),
 k AS (SELECT chunk_id, text, CASE WHEN unit_type = 'action' THEN 'fields:' || array_to_string(fields, '|') ELSE 'text:' || regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') END record FROM f),
 g AS (SELECT record, min(chunk_id) first_chunk_id, count(*) n_copies FROM k GROUP BY record)
 """
