@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sextant.plans import frames, graph, grounding, orphans, retrieval, text
+from sextant.plans import attribution, frames, graph, grounding, orphans, retrieval, text
 
-MODULES = [text, retrieval, graph, grounding, frames, orphans]
+MODULES = [text, retrieval, graph, grounding, attribution, frames, orphans]
 
 
 def queries() -> dict:
