@@ -81,7 +81,7 @@ def adversarial_verdict(units: DataFrame) -> DataFrame:
 
 def csv_number(x: Column) -> Column:
     """A double as a table prints it: six places, trailing zeros off, nothing for null."""
-    return F.coalesce(F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", ""), F.lit(""))
+    return F.when(x.isNull(), "").otherwise(F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", ""))
 
 
 def contrast_ratio(a: Column, b: Column) -> Column:

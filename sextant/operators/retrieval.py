@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sextant.functions import text as T
-from sextant.runtime import broadcast_below
+from sextant.runtime import broadcast_below, materialise
 
 K1, B, EPSILON, RRF_K, DEPTH, TOP = 1.5, 0.75, 0.25, 60, 100, 10
 
@@ -39,12 +39,13 @@ def floored(stats: DataFrame) -> DataFrame:
 
 
 def bm25(query_terms: DataFrame, post: DataFrame, dl: DataFrame, idf: DataFrame) -> DataFrame:
-    """(query, doc, score): BM25; a term repeated in a query counts each time. Scores are sums of decimals, the same in any order."""
+    """(query, doc, score): BM25; a term repeated in a query counts each time. Scores are sums of whole billionths, the same in any order."""
     stat = dl.agg((F.sum("dl") / F.count("*")).alias("avgdl"))
-    q = query_terms.groupBy("query", "term").agg(F.count("*").alias("times")).join(idf, "term")
+    # written, so that its true size decides on the broadcast; without one, common terms would fill single tasks
+    q = materialise(query_terms.groupBy("query", "term").agg(F.count("*").alias("times")).join(idf, "term"))
     p = post.join(broadcast_below(q, 64 << 20), "term").join(dl, "doc").crossJoin(F.broadcast(stat))
     one = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("times")
-    return p.groupBy("query", "doc").agg(F.sum(F.bround(one, 9).cast("decimal(28,9)")).cast("double").alias("score")).withColumn("score", F.bround("score", 6))
+    return p.groupBy("query", "doc").agg(F.sum(F.rint(one * 1e9).cast("long")).alias("score")).withColumn("score", F.bround(F.col("score") / 1e9, 6))
 
 
 def ranked(scores: DataFrame, depth: int) -> DataFrame:

@@ -41,7 +41,7 @@ def bm25_idf_floored(spark, d):
 def _lexical(spark, d, idf="idf_nonneg"):
     docs = _docs(spark, d)
     q = _query_terms(spark, d)
-    post = R.postings(docs, "chunk_id", "text", only=q)
+    post = materialise(R.postings(docs, "chunk_id", "text", only=q))
     return R.bm25(q, post, R.lengths(docs, "chunk_id", "text"), R.term_statistics(post, _n(docs)).select("term", F.col(idf).alias("idf")))
 
 
@@ -137,7 +137,7 @@ _Q = f"SELECT item_id query, unnest({TOKENS.format('query')}) term FROM i"
 
 
 def _scores(q: str, idf: str) -> str:
-    return f"""SELECT query, doc, round_even(CAST(sum(CAST(round_even(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / av)) * times, 9) AS DECIMAL(28,9))) AS DOUBLE), 6) score
+    return f"""SELECT query, doc, round_even(CAST(sum(CAST(round_even(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / av)) * times * 1e9, 0) AS BIGINT)) AS DOUBLE) / 1e9, 6) score
   FROM (SELECT query, term, count(*) times, any_value({idf}) idf FROM ({q}) JOIN st USING (term) GROUP BY query, term) JOIN p USING (term) JOIN dl USING (doc), av GROUP BY query, doc"""
 
 
