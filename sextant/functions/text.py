@@ -11,8 +11,11 @@ TYPOGRAPHIC, PLAIN = "‘’“”–— ", "''\"\"-- "
 SPACES = "    "
 TOKEN = "[a-z0-9]+(?:[._-][a-z0-9]+)*"
 #: Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = ["e.g", "i.e", "cf", "etc", "art", "no", "nos", "vol", "fig", "sec", "para", "al", "vs", "approx", "dr", "p", "pp"]
-MARKER = "The provided context does not contain the answer."
+ABBREVIATIONS = ["e.g", "i.e", "cf", "etc", "vs", "approx", "no", "nos", "art", "arts", "sec", "secs", "fig", "figs", "para", "paras", "pp"]
+#: Fixed value: what starts a list line.
+LIST_MARKER = r"^\s*(?:[-*]|\(?[0-9]{1,2}[.)]|\(?[a-zA-Z][.)])\s+"
+#: Fixed value: the answer that abstains.
+MARKER = "I do not have enough information to answer this question."
 
 
 def normalize_spaces(x: Column) -> Column:
@@ -68,9 +71,8 @@ def claim_units(answer: Column) -> Column:
 
     The abstention marker and its variants are none. Null gives null.
     """
-    item = r"^\s*(?:[-*•]|\d+[.)]|\([a-z0-9]+\))\s+"
     # the separators make a run of prose lines one string and each list line another
-    coded = F.transform(F.split(answer, "\n"), lambda l: F.when(F.trim(l) == "", "\u0002").when(l.rlike(item), F.concat(F.lit("\u0002\u0003"), F.trim(F.regexp_replace(l, item, "")), F.lit("\u0002"))).otherwise(F.concat(F.trim(l), F.lit(" "))))
+    coded = F.transform(F.split(answer, "\n"), lambda l: F.when(F.trim(l) == "", "\u0002").when(l.rlike(LIST_MARKER), F.concat(F.lit("\u0002\u0003"), F.trim(F.regexp_replace(l, LIST_MARKER, "")), F.lit("\u0002"))).otherwise(F.concat(F.trim(l), F.lit(" "))))
     runs = F.filter(F.transform(F.split(F.array_join(coded, ""), "\u0002"), F.trim), lambda r: r != "")
     units = F.flatten(F.transform(runs, lambda r: F.when(r.startswith("\u0003"), F.array(F.substring(r, 2, 1 << 30))).otherwise(sentences(r))))
     return F.filter(units, lambda u: (F.trim(u) != "") & (response_class(u) == "answered"))

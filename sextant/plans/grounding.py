@@ -205,7 +205,7 @@ SQL = {
     "layer_recall": f"{_A}, need AS (SELECT DISTINCT custom_id, u unit FROM r JOIN (SELECT item_id, unnest(expected_units) u FROM eval_queries) ON item_id = TRY_CAST(regexp_extract(query_id, '(\\d+)$', 1) AS BIGINT)), have AS (SELECT custom_id, unit, max(CASE WHEN origin = 'first' THEN 1 ELSE 0 END) f FROM aug GROUP BY ALL) SELECT count(*) AS n_slots, CAST(coalesce(sum(f), 0) AS BIGINT) AS hit_first, count(f) AS hit_after FROM need LEFT JOIN have USING (custom_id, unit)",
 }
 
-_ITEM = r"^\s*([-*•]|\d+[.)]|\([a-z0-9]+\))\s+"
+_ITEM = T.LIST_MARKER
 _ABBR = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
 _FLAT = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _US = _S.replace("(block", "(unit")
