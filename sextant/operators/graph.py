@@ -40,3 +40,22 @@ def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
             return seen
         seen = materialise(seen.unionByName(front))
     raise RuntimeError(f"closure did not settle within {rounds} rounds")
+
+
+def contained(texts: DataFrame, n: int = 8) -> DataFrame:
+    """(inner, outer): texts of words parted by one space that stand whole, between word ends, in a text; each also in itself.
+
+    ``texts`` is (id, m), distinct and of ``n`` words or more, of any length. A containing text has every window of ``n``
+    words of the contained one, so only texts whose windows all stand in a second text are looked up, each by its rarest window.
+    """
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))
+    g = materialise(texts.select("id", F.split("m", " ").alias("w")).select("id", windows.alias("k")))  # a text is split once, not for each window
+    each = g.select("id", F.explode("k").alias("k"))
+    shared = materialise(each.join(each.groupBy("k").agg(F.count("*").alias("f")).filter("f > 1"), "k"))
+    sized = g.select("id", F.size("k").alias("n"))
+    probe = shared.groupBy("id").agg(F.count("*").alias("c"), F.min_by("k", F.struct("f", "k")).alias("k")).join(sized, "id").filter("c = n").select(F.col("id").alias("inner"), "k")
+    pairs = probe.join(shared.select(F.col("id").alias("outer"), "k"), "k").filter("inner <> outer").select("inner", "outer")
+    both = pairs.join(texts.select(F.col("id").alias("inner"), F.col("m").alias("a")), "inner").join(texts.select(F.col("id").alias("outer"), F.col("m").alias("b")), "outer")
+    pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    found = both.filter(F.length("a") < F.length("b")).filter(pad(F.col("b")).contains(pad(F.col("a")))).select("inner", "outer")
+    return found.unionByName(g.select(F.col("id").alias("inner"), F.col("id").alias("outer")))

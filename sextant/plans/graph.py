@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sextant.functions import text as T
 from sextant.operators import graph as G
 from sextant.plans.common import C, NORM, chunks
+from sextant.runtime import materialise
 from sextant.sources.tables import table
 
 
@@ -118,20 +119,14 @@ def nominated(spark, d):
 
 
 def duplication_map(spark, d):
-    """Short statements (8 words or more) of one chunk standing whole in a chunk of another document.
-
-    A containing text shares the statement's first 8 words, so the containment test runs on an equi-join of word windows;
-    the pairs are between distinct texts' representatives.
-    """
-    c, _ = _norm_groups(spark, d)
-    t = chunks(spark, d, "doc_id", "unit_type", "text").filter("text IS NOT NULL").select("chunk_id", "doc_id", "unit_type", T.match_form(F.col("text")).alias("m"))
-    rep = t.groupBy("doc_id", "m").agg(F.min("chunk_id").alias("chunk_id"), F.min("unit_type").alias("unit_type"))
-    w = F.split("m", " ")
-    probe = rep.filter((F.size(w) >= 8) & (F.size(w) <= 60)).select(F.col("chunk_id").alias("source"), F.col("doc_id").alias("sd"), F.col("m").alias("probe"), F.xxhash64(F.array_join(F.slice(w, 1, 8), " ")).alias("k"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))
-    hay = rep.filter(F.size(w) >= 8).select(F.col("chunk_id").alias("holder"), F.col("doc_id").alias("hd"), F.col("m").alias("hay"), F.explode(F.array_distinct(grams)).alias("k"))
-    j = probe.join(hay, "k").filter((F.col("sd") != F.col("hd")) & F.concat(F.lit(" "), "hay", F.lit(" ")).contains(F.concat(F.lit(" "), "probe", F.lit(" "))))
-    return j.select("source", "holder", (F.col("probe") == F.col("hay")).alias("whole")).distinct()
+    """Statements (8 words or more) of one chunk standing whole in a chunk of another document."""
+    t = chunks(spark, d, "doc_id", "text").filter("text IS NOT NULL").select("chunk_id", "doc_id", T.match_form(F.col("text")).alias("m"))
+    rep = materialise(t.groupBy("doc_id", "m").agg(F.min("chunk_id").alias("chunk_id")).filter(F.size(F.split("m", " ")) >= 8))
+    pairs = G.contained(rep.groupBy("m").agg(F.min("chunk_id").alias("id")))
+    place = rep.join(rep.groupBy("m").agg(F.min("chunk_id").alias("id")), "m").select("id", "doc_id", "chunk_id")
+    p, h = (place.select(F.col("id").alias(i), F.col("doc_id").alias(f"{i}d"), F.col("chunk_id").alias(n)) for i, n in (("inner", "source"), ("outer", "holder")))
+    j = pairs.join(p, "inner").join(h, "outer").filter(F.col("innerd") != F.col("outerd"))
+    return j.select("source", "holder", (F.col("inner") == F.col("outer")).alias("whole"))
 
 
 _NG = f"WITH RECURSIVE {C}, k AS (SELECT chunk_id, sha256({NORM.format('text')}) key FROM c WHERE text IS NOT NULL), g AS (SELECT key, min(chunk_id) representative, count(*) n FROM k GROUP BY key HAVING count(*) > 1)"
