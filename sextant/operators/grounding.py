@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,3 +135,78 @@ def answer_grading(verdicts: DataFrame) -> DataFrame:
     """(custom_id, n_units, n_grounded, n_ungrounded, unsupported_rate)."""
     g = verdicts.groupBy("custom_id").agg(F.count("*").alias("n_units"), F.sum(F.col("grounded").cast("long")).alias("n_grounded"))
     return g.select("custom_id", "n_units", "n_grounded", (F.col("n_units") - F.col("n_grounded")).alias("n_ungrounded"), F.bround(1 - F.col("n_grounded") / F.col("n_units"), 6).alias("unsupported_rate"))
+
+
+def foreign_best(units: pd.DataFrame, blocks: pd.DataFrame, wide: int = 256) -> list[float]:
+    """Best window score of each unit (query_id, unit_tokens) over all blocks (only, block_tokens) whose ``only`` is not its query.
+
+    Exact: a block's tokens shared with the unit, and in blocks up to ``wide`` tokens those in any window, bound its score, and
+    blocks are scored from the highest bound down to the best score found.
+    """
+    ids: dict[str, int] = {}
+    coded = [[ids.setdefault(t, len(ids)) for t in b] for b in blocks["block_tokens"]]
+    size = np.array([len(b) for b in coded])
+    flat = np.full((len(coded), min(wide, int(size.max(initial=0)))), len(ids), dtype=np.int32)
+    at: dict[int, dict[int, int]] = {}
+    for i, b in enumerate(coded):
+        if len(b) <= wide:
+            flat[i, : len(b)] = b
+        for t in b:
+            row = at.setdefault(t, {})
+            row[i] = row.get(i, 0) + 1
+    post = {t: (np.fromiter(r.keys(), np.int64), np.fromiter(r.values(), np.int32)) for t, r in at.items()}
+    own: dict[str, list[int]] = {}
+    for i, q in enumerate(blocks["only"]):
+        if q is not None:
+            own.setdefault(q, []).append(i)
+    out = []
+    for q, unit in zip(units["query_id"], units["unit_tokens"]):
+        n, need = len(unit), {}
+        code = [ids.get(t, -1 - i) for i, t in enumerate(unit)]
+        for t in code:
+            need[t] = need.get(t, 0) + 1
+        bound = np.zeros(len(coded), dtype=np.int32)
+        for t, k in need.items():
+            if t >= 0:
+                bound[post[t][0]] += np.minimum(post[t][1], k)
+        bound[size < max(n, 1)] = 0
+        bound[own.get(q, [])] = 0
+        best, seeds = 0, np.argsort(-bound, kind="stable")[:4] if len(bound) <= 4 else np.argpartition(-bound, 4)[:4]
+        for i in seeds:
+            if bound[i] > best:
+                best = max(best, round(window_score(code, coded[i]) * n))
+        left = np.flatnonzero(bound > best)
+        if len(left):
+            mine = np.zeros(len(ids) + 1, dtype=np.int32)
+            mine[[t for t in need if t >= 0]] = 1
+            narrow = size[left] <= wide
+            few = left[narrow]
+            if len(few):
+                sums = np.zeros((len(few), flat.shape[1] + 1), dtype=np.int32)
+                np.cumsum(mine[flat[few]], axis=1, out=sums[:, 1:])
+                bound[few] = np.minimum(bound[few], (sums[:, n:] - sums[:, :-n]).max(axis=1))
+            for i in left[np.argsort(-bound[left], kind="stable")]:
+                if bound[i] <= best:
+                    break
+                best = max(best, round(window_score(code, coded[i]) * n))
+        out.append(best / n if n else 0.0)
+    return out
+
+
+def foreign_alignment(units: DataFrame, blocks: DataFrame, unit_group: int = 8192, block_group: int = 16384) -> DataFrame:
+    """(custom_id, pos, foreign_max): each unit's best window score over the blocks of every request of another query; 0 without one.
+
+    Columns: units (custom_id, pos, query_id, unit_tokens), blocks (query_id, block_tokens). Distinct blocks are scored once per
+    unit; groups of units meet groups of blocks, so a task holds one of each.
+    """
+    b = blocks.groupBy("block_tokens").agg(F.when(F.countDistinct("query_id") == 1, F.min("query_id")).alias("only")).withColumn("h", F.xxhash64("block_tokens"))
+    n_units, n_blocks = -(-units.count() // unit_group) or 1, -(-b.count() // block_group) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    u = units.withColumn("i", F.pmod(F.xxhash64("custom_id", "pos"), F.lit(n_units)).cast("int")).withColumn("j", every(n_blocks))
+    b = b.select("only", "block_tokens", F.pmod("h", F.lit(n_blocks)).cast("int").alias("j"), every(n_units).alias("i"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return x[["custom_id", "pos"]].assign(foreign_max=foreign_best(x, y.astype({"only": object}).where(y.notna(), None)) if len(y) else 0.0)
+
+    met = u.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, "custom_id string, pos int, foreign_max double")
+    return met.groupBy("custom_id", "pos").agg(F.max("foreign_max").alias("foreign_max"))

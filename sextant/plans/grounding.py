@@ -172,16 +172,15 @@ def alignment_gaps(spark, d):
 
 
 def foreign_alignment(spark, d):
-    """Each unit's own best overlap against its best with the blocks of the next request of its tier (in id order)."""
-    a = _answers(spark, d).select("custom_id", T.answer_text(F.col("response")).alias("a")).filter("a IS NOT NULL")
-    r = _requests(spark, d)
-    cond = r.select("custom_id", F.crc32(F.col("query_id").cast("binary")).alias("h"))
-    blocks = G.context_blocks(r)
-    # a foreign row shares a hash class of queries but not the query: bounded, and every unit has its own set
-    own = a.join(cond, "custom_id").select("custom_id", F.explode(T.claim_units(F.col("a"))).alias("u"), F.pmod("h", F.lit(997)).alias("k"))
-    b = blocks.join(cond, "custom_id").select(F.col("custom_id").alias("f"), F.pmod("h", F.lit(997)).alias("k"), T.primary_tokens(F.col("block")).alias("block_tokens"))
-    p = own.withColumn("unit_tokens", T.primary_tokens(F.col("u"))).join(b, "k").filter("f <> custom_id")
-    return G.scored(p).groupBy("custom_id").agg(F.count("*").alias("n_pairs"), F.bround(F.max("score"), 6).alias("foreign_max"))
+    """Each unit's own best overlap against its best with the blocks of every request of another query; ties beat nothing."""
+    r = _requests(spark, d).filter("query_id IS NOT NULL")
+    a = _answers(spark, d)
+    v = materialise(G.unit_verdicts(a, r).join(r.select("custom_id", "query_id"), "custom_id").select("custom_id", "pos", "query_id", T.primary_tokens(F.col("unit")).alias("unit_tokens"), "overlap_max"))
+    blocks = materialise(G.context_blocks(r).join(r.select("custom_id", "query_id"), "custom_id").select("query_id", T.primary_tokens(F.col("block")).alias("block_tokens")))
+    foreign = G.foreign_alignment(v.drop("overlap_max"), blocks)
+    rows = F.broadcast(r.agg((F.countDistinct("query_id") - 1).alias("foreign_rows")))
+    margin = F.bround(F.col("overlap_max") - F.col("foreign_max"), 6)
+    return v.join(foreign, ["custom_id", "pos"]).crossJoin(rows).select("custom_id", "pos", "foreign_rows", F.bround("overlap_max", 6).alias("own_max"), F.bround("foreign_max", 6).alias("foreign_max"), margin.alias("margin"), (F.col("overlap_max") > F.col("foreign_max")).alias("beats"))
 
 
 QUERIES = {f.__name__: f for f in (references, context_blocks, resolved_units, absent_units, unresolved_references, augmented_context, context_sizes, layer_recall, window_scores, crosscheck_disagreements, answer_grading, flagged_units, rates_by_tier, rates_pooled, rates_by_stratum, comparable_set, fate_table, cost_latency, predictions, alignment_summary, alignment_histogram, alignment_gaps, foreign_alignment)}

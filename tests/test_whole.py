@@ -2,8 +2,12 @@
 
 import random
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
-from tests.schemas import CHUNKS
+from sextant.operators import grounding as GR
+from tests.schemas import ANSWERS, CHUNKS, REQUESTS
 
 
 def save(spark, folder, name, rows, schema):
@@ -22,3 +26,38 @@ def test_duplication_map_finds_long_statements(spark, tmp_path):
     want = sorted((i, j, a == b) for i, x, a in form for j, y, b in form if x != y and len(a.split()) >= 8 and f" {a} " in f" {b} ")
     got = sorted(tuple(x) for x in E.queries()["duplication_map"](spark, str(tmp_path)).select("source", "holder", "whole").collect())
     assert got == want and any(len(dict((i, t) for i, _, t in form)[s].split()) > 60 for s, _, _ in got)
+
+
+def exchange(custom_id, query_id, condition, blocks, answer):
+    text = "Extracts:\n\n" + "\n\n".join(f"[d:u{i}] {b}" for i, b in enumerate(blocks)) + "\n\nQuestion: what?"
+    request = (custom_id, "test", condition, query_id, None, text, None)
+    return request, (custom_id, "succeeded", ("x", ("m", "t", "assistant", "end_turn", [("text", answer, None)], (1, 1, "batch"))), None, None)
+
+
+def test_foreign_alignment_meets_every_other_query(spark, tmp_path):
+    r = random.Random(5)
+    words = [f"w{c}" for c in "abcdefghijkl"]
+    said = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [exchange(f"test__raw__t__{i}", f"q{i // 2}", "raw", [said(r.randrange(3, 20)) for _ in range(i % 3)], f"{said(6).capitalize()}.\n- {said(4)}") for i in range(24)]
+    rows.append(exchange("test__raw__t__99", "q99", "raw", [], "Zz yy."))
+    save(spark, tmp_path, "requests", [x for x, _ in rows], REQUESTS)
+    save(spark, tmp_path, "answers", [y for _, y in rows], ANSWERS)
+    got = {(x["custom_id"], x["pos"]): x for x in E.queries()["foreign_alignment"](spark, str(tmp_path)).collect()}
+    query = {x[0]: x[3] for x, _ in rows}
+    blocks = [(query[b["custom_id"]], b["t"]) for b in GR.context_blocks(spark.createDataFrame([x for x, _ in rows], REQUESTS)).select("custom_id", F.split(F.lower(F.regexp_replace("block", r"[\[\]:]", " ")), " +").alias("t")).collect()]
+    blocks = [(q, [t for t in b if t]) for q, b in blocks]
+    texts = {(x[0], p): u.lower().strip(".- ").split() for x, y in rows for p, u in enumerate(y[2][1][4][0][1].split("\n"))}
+    assert set(got) == set(texts) and all(x["foreign_rows"] == 12 for x in got.values())
+    for k, unit in texts.items():
+        want = max([GR.window_score(unit, b) for q, b in blocks if q != query[k[0]]], default=0.0)
+        assert abs(got[k]["foreign_max"] - want) < 1e-6
+
+
+def test_foreign_best_is_the_maximum_over_all_blocks():
+    r = random.Random(6)
+    said = lambda n: [r.choice("abcdefgh") for _ in range(n)]
+    blocks = pd.DataFrame([(r.choice(["p", "q", None]), said(r.randrange(0, 30))) for _ in range(60)], columns=["only", "block_tokens"])
+    units = pd.DataFrame([(r.choice("pq"), said(r.randrange(0, 14)) + r.choice([[], ["z"]])) for _ in range(120)], columns=["query_id", "unit_tokens"])
+    want = [max(GR.window_score(u, b) for o, b in blocks.itertuples(index=False) if o != q) for q, u in units.itertuples(index=False)]
+    for wide in (12, 256):
+        assert all(abs(x - y) < 1e-9 for x, y in zip(GR.foreign_best(units, blocks, wide), want))
