@@ -32,10 +32,21 @@ def rates_table(spark, d):
 
 
 def decomposition(spark, d):
-    """Ungrounded units of second-call answers against raw ones, by whether both sides answered."""
-    g = P._graded(spark, d).select("query_set", "condition", F.substring_index("query_id", "_", -1).cast("long").alias("q"), "n_units", "n_ungrounded")
-    x = g.withColumn("k", F.col("q") % 50).groupBy("query_set", "k").agg(*[F.sum(F.when(F.col("condition") == c, F.col("n_ungrounded")).otherwise(0)).alias(c) for c in ("raw", "second_call")])
-    return x.groupBy("query_set").agg(F.count("*").alias("n"), F.sum((F.col("raw") > F.col("second_call")).cast("long")).alias("fewer"), F.sum(F.col("second_call") - F.col("raw")).alias("delta"))
+    """Second-call answers against the raw ones of the same query and tier, over the queries with both whose raw side answered.
+
+    Abstained are those without a grounded unit after the second call (a marker has no units); the others are answered in both.
+    """
+    key, counts = ["query_set", "tier", "query_id"], ["n_units", "n_grounded", "n_ungrounded"]
+    g = P._graded(spark, d).filter("query_id IS NOT NULL AND condition IN ('raw', 'second_call')")
+    x = g.groupBy(*key).agg(F.countDistinct("condition").alias("sides"), *[F.sum(F.when(F.col("condition") == c, F.col(n)).otherwise(0)).alias(f"{c}_{n}") for c in ("raw", "second_call") for n in counts])
+    x = x.filter("sides = 2 AND raw_n_units > 0").withColumn("both", F.col("second_call_n_grounded") > 0)
+    total = lambda when, e, name: F.sum(F.when(when, F.expr(e)).otherwise(0)).cast("long").alias(name)
+    both, out = F.col("both"), ~F.col("both")
+    return x.groupBy("query_set", "tier").agg(
+        F.count("*").alias("n"), total(F.lit(True), "CAST(raw_n_ungrounded > second_call_n_ungrounded AS INT)", "fewer"), total(F.lit(True), "second_call_n_ungrounded - raw_n_ungrounded", "delta"),
+        total(out, "1", "abstained"), total(out, "raw_n_ungrounded", "abstained_ungrounded"), total(out, "raw_n_units", "abstained_units"),
+        total(both, "raw_n_ungrounded - second_call_n_ungrounded", "ungrounded_removed"), total(both, "second_call_n_grounded - raw_n_grounded", "grounded_added"), total(both, "second_call_n_units - raw_n_units", "units_added"),
+    )
 
 
 def surface_tokens(spark, d):

@@ -61,3 +61,19 @@ def test_foreign_best_is_the_maximum_over_all_blocks():
     want = [max(GR.window_score(u, b) for o, b in blocks.itertuples(index=False) if o != q) for q, u in units.itertuples(index=False)]
     for wide in (12, 256):
         assert all(abs(x - y) < 1e-9 for x, y in zip(GR.foreign_best(units, blocks, wide), want))
+
+
+def test_decomposition_joins_the_same_query(spark, tmp_path):
+    held, lost, marker = "the model owner verifies logs", "nobody ever saw this printed", "I do not have enough information to answer this question."
+    cases = [  # query, raw answer, second-call answer
+        ("t_1", f"- {held}\n- {lost}", f"- {held}\n- {held} daily"),
+        ("t_51", f"- {lost}\n- {lost} again", marker),
+        ("t_101", marker, f"- {held}"),
+        ("t_151", f"- {lost}", None),
+        ("t_201", f"- {held}\n- {lost}\n- {lost} again", f"- {held}"),
+    ]
+    rows = [exchange(f"test__{c}__mid__{q}", q, c, [f"{held} daily"], a) for q, *both in cases for c, a in zip(("raw", "second_call"), both) if a]
+    save(spark, tmp_path, "requests", [x for x, _ in rows], REQUESTS)
+    save(spark, tmp_path, "answers", [y for _, y in rows], ANSWERS)
+    got = [x.asDict() for x in E.queries()["decomposition"](spark, str(tmp_path)).collect()]
+    assert got == [dict(query_set="test", tier="mid", n=3, fewer=3, delta=-5, abstained=1, abstained_ungrounded=2, abstained_units=2, ungrounded_removed=3, grounded_added=1, units_added=-2)]
