@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sextant.runtime import materialise, running_total
+
 
 def spaced_picks(sized: DataFrame, m: int, offset: int) -> DataFrame:
     """(stratum, pick): ``m`` evenly spaced places among ``n`` per stratum, starting at ``offset``; at most n."""
@@ -35,29 +39,67 @@ def select_walk(draws: DataFrame, key: Column, m: int, group: str, order: str) -
     return first.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= m)
 
 
+def split_gap(n: int, start: int, length: int, keep: int = 1) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Draws (distance, place) inside a gap between two drawn places of a circle of ``n``, and its parts (start, length) up to ``keep`` left whole.
+
+    The farthest place of a gap is its middle, of two the lower; distances fall, or places rise, from a gap to its halves, so
+    the draws of all gaps by falling distance, then place, are in drawing order.
+    """
+    draws, rest, todo = [], [], [(start, length)]
+    while todo:
+        a, w = todo.pop()
+        if w < 2:
+            continue
+        if w <= keep:
+            rest.append((a, w))
+            continue
+        half = w // 2
+        cut = half if w % 2 == 0 or (a + half) % n < (a + half + 1) % n else half + 1
+        draws.append((half, (a + cut) % n))
+        todo += [(a, cut), ((a + cut) % n, w - cut)]
+    return draws, rest
+
+
+def first_draws(n: int, m: int, offset: int = 0) -> tuple[list[int], list[tuple[int, int]]]:
+    """The ``m`` evenly spaced places drawn first (the lowest place if ``m`` is 0), and the gaps (start, length) they leave."""
+    picks = list(dict.fromkeys((offset + i * n // max(m, 1)) % n for i in range(min(max(m, 1), n)))) if m else [0][:n]
+    at = sorted(picks)
+    return picks, [(a, (b - a) % n or n) for a, b in zip(at, at[1:] + at[:1])]
+
+
 def draw_order(n: int, m: int, offset: int = 0) -> list[int]:
     """Order in which ``n`` places on a circle are drawn: ``m`` evenly spaced, then always the farthest (lower place on ties)."""
-    picks = list(dict.fromkeys((offset + i * n // max(m, 1)) % n for i in range(min(m, n)))) if n else []
-    far = lambda a, b: min((a - b) % n, (b - a) % n)
-    gap = {i: min((far(i, p) for p in picks), default=n) for i in range(n) if i not in set(picks)}
-    while gap:
-        best = max(gap, key=lambda i: (gap[i], -i))
-        picks.append(best)
-        del gap[best]
-        for i in gap:
-            gap[i] = min(gap[i], far(i, best))
-    return picks
-
-
-def draw_orders(sized: DataFrame, m: int) -> DataFrame:
-    """(stratum, draw_rank, place) of the whole draw of each stratum."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        s, n = g["stratum"].iloc[0], int(g["n"].iloc[0])
-        o = draw_order(n, m)
-        return pd.DataFrame({"stratum": [s] * len(o), "draw_rank": range(1, len(o) + 1), "place": o})
-
-    return sized.groupBy("stratum").applyInPandas(run, "stratum string, draw_rank long, place long")
+    picks, gaps = first_draws(n, m, offset)
+    return picks + [p for _, p in sorted((d for g in gaps for d in split_gap(n, *g)[0]), key=lambda x: (-x[0], x[1]))]
+
+
+def draw_orders(sized: DataFrame, m: int, keep: int = 1 << 16) -> DataFrame:
+    """(stratum, draw_rank, place) of the whole draw of each stratum, of any size: gaps up to ``keep`` are drawn apart, then ranked by a range sort."""
+    out = "stratum string, n long, length long, distance long, turn long, place long"
+
+    def rows(s, n: int, draws: list, rest: list) -> list[tuple]:
+        return [(s, n, 0, h, p, p) for h, p in draws] + [(s, n, w, 0, 0, a) for a, w in rest]
+
+    def frame(x: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(x, columns=["stratum", "n", "length", "distance", "turn", "place"])
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s, n in zip(b["stratum"], b["n"]):
+                picks, gaps = first_draws(n, m)
+                yield frame([(s, n, 0, n, i, p) for i, p in enumerate(picks)])
+                for g in gaps:
+                    yield frame(rows(s, n, *split_gap(n, *g, keep)))
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s, n, w, a in zip(b["stratum"], b["n"], b["length"], b["place"]):
+                yield frame(rows(s, n, *split_gap(n, a, w)))
+
+    top = materialise(sized.select("stratum", F.col("n").cast("long").alias("n")).mapInPandas(first, out))
+    gaps = top.filter("length > 0").repartition("stratum", "place").mapInPandas(inside, out)
+    every = top.filter("length = 0").unionByName(gaps).select("stratum", "distance", "turn", "place")
+    return running_total(every, ["stratum"], [F.col("distance").desc(), F.col("turn")], F.lit(1).cast("long"), "draw_rank").select("stratum", "draw_rank", "place")
 
 
 def pack_blocks(costs: Column, cap: int) -> Column:

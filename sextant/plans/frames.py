@@ -30,7 +30,7 @@ def select_walk(spark, d):
 
 
 def draw_order(spark, d):
-    return S.draw_orders(_strata(spark, d).select("stratum", F.least("n", F.lit(500)).alias("n")), 10)
+    return S.draw_orders(_strata(spark, d), 10)
 
 
 def packed_blocks(spark, d):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from sextant.operators import grounding as GR
-from tests.schemas import ANSWERS, CHUNKS, REQUESTS
+from sextant.operators import sampling as S
+from tests.schemas import ANSWERS, CHUNKS, REQUESTS, UNITS
 
 
 def save(spark, folder, name, rows, schema):
@@ -77,3 +78,29 @@ def test_decomposition_joins_the_same_query(spark, tmp_path):
     save(spark, tmp_path, "answers", [y for _, y in rows], ANSWERS)
     got = [x.asDict() for x in E.queries()["decomposition"](spark, str(tmp_path)).collect()]
     assert got == [dict(query_set="test", tier="mid", n=3, fewer=3, delta=-5, abstained=1, abstained_ungrounded=2, abstained_units=2, ungrounded_removed=3, grounded_added=1, units_added=-2)]
+
+
+def quadratic(n, m, offset=0):
+    picks = list(dict.fromkeys((offset + i * n // max(m, 1)) % n for i in range(min(m, n)))) if n else []
+    far = lambda a, b: min((a - b) % n, (b - a) % n)
+    left = set(range(n)) - set(picks)
+    while left:
+        picks.append(max(left, key=lambda i: (min((far(i, p) for p in picks), default=n), -i)))
+        left.remove(picks[-1])
+    return picks
+
+
+def test_draw_order_equals_the_quadratic_form():
+    for n in [*range(40), 75]:
+        for m in (0, 1, 2, 5, 10):
+            for offset in (0, 1, 7):
+                assert S.draw_order(n, m, offset) == quadratic(n, m, offset), (n, m, offset)
+
+
+def test_draw_order_takes_whole_strata(spark, tmp_path):
+    sizes = {"action": 613, "annex": 7, "recital": 1}
+    save(spark, tmp_path, "units", [(f"d:{t}_{i}", "d", t, None, None) for t, n in sizes.items() for i in range(n)], UNITS)
+    for got in (E.queries()["draw_order"](spark, str(tmp_path)), S.draw_orders(spark.createDataFrame(list(sizes.items()), "stratum string, n long"), 10, 8)):
+        got = got.orderBy("stratum", "draw_rank").collect()
+        assert [tuple(x) for x in got] == [(t, k, p) for t, n in sizes.items() for k, p in enumerate(S.draw_order(n, 10), 1)]
+    assert S.draw_order(613, 10) == quadratic(613, 10)
