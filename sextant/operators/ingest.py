@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sextant.runtime import materialise, running_total
+
 #: Text between two citations that makes the first one external or internal.
 INSTRUMENTS = r"(?:Directive|Regulation|Norm|Bulletin|Charter|Convention|Treaty|Decision)"
 
@@ -28,9 +30,14 @@ def line_class(text: Column) -> Column:
 
 
 def carried_headings(lines: DataFrame) -> DataFrame:
-    """(line_id, heading): the last heading at or above each line of its page."""
-    w = W.partitionBy("doc_id", "page").orderBy("line_id").rowsBetween(W.unboundedPreceding, 0)
-    return lines.select("line_id", F.last(F.when(line_class(F.col("text")) == "heading", F.trim("text")), True).over(w).alias("heading"))
+    """(line_id, heading): the last heading at or above each line of its document, over its pages; null above the first one.
+
+    Headings are numbered along each document by a range sort, so no document has to fit into one task. Line ids are distinct.
+    """
+    h = lines.select("doc_id", "line_id", F.when(line_class(F.col("text")) == "heading", F.trim("text")).alias("heading"))
+    x = materialise(running_total(h, ["doc_id"], [F.col("line_id")], F.col("heading").isNotNull().cast("long"), "no"))
+    y = x.filter("heading IS NOT NULL").select(F.col("doc_id").alias("d"), F.col("no").alias("k"), "heading")
+    return x.drop("heading").join(y, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("no") == F.col("k")), "left").select("line_id", "heading")
 
 
 def block_offsets(chunks: DataFrame) -> DataFrame:

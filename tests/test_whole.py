@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from sextant.operators import grounding as GR
 from sextant.operators import sampling as S
-from tests.schemas import ANSWERS, CHUNKS, REQUESTS, UNITS
+from tests.schemas import ANSWERS, CHUNKS, LINES, REQUESTS, UNITS
 
 
 def save(spark, folder, name, rows, schema):
@@ -104,3 +104,10 @@ def test_draw_order_takes_whole_strata(spark, tmp_path):
         got = got.orderBy("stratum", "draw_rank").collect()
         assert [tuple(x) for x in got] == [(t, k, p) for t, n in sizes.items() for k, p in enumerate(S.draw_order(n, 10), 1)]
     assert S.draw_order(613, 10) == quadratic(613, 10)
+
+
+def test_carried_headings_pass_over_pages(spark, tmp_path):
+    said = [("a", 1, "before any heading, this."), ("a", 1, "Record keeping"), ("a", 1, "some words, here."), ("a", 2, "more words, here."), ("a", 3, "still more, here."), ("a", 3, "Scope"), ("a", 4, "last words, here."), ("b", 4, "another document, here."), ("b", 5, "Scope"), (None, 1, "Loose heading"), (None, 2, "loose words, here.")]
+    save(spark, tmp_path, "lines", [(i, d, p, i, t, None, 0, len(t), None, None, None) for i, (d, p, t) in enumerate(said)], LINES)
+    got = {x["heading"]: x["n_lines"] for x in E.queries()["carried_headings"](spark, str(tmp_path)).collect()}
+    assert got == {"Record keeping": 4, "Scope": 3, "Loose heading": 2}
