@@ -6,6 +6,7 @@ import difflib
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,24 +43,55 @@ def ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio", floor: float = F
     return kept.withColumn(out, match(F.col(a), F.col(b))).filter(F.col(out) >= floor)
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, at least the matched characters of the ratio; by bits of one number."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = left = (1 << len(a)) - 1
+    for c in b:
+        u = left & at.get(c, 0)
+        left = (left + u | left - u) & full
+    return len(a) - left.bit_count()
+
+
+def alike(a: list[str], b: list[str], floor: float) -> list[tuple[str, str, float]]:
+    """(text of a, text of b, ratio) of all pairs whose matching ratio reaches ``floor``; bounds drop only pairs that cannot."""
+    letters: dict[str, int] = {}
+    counts = [[letters.setdefault(c, len(letters)) for c in t] for t in [*a, *b]]
+    hist = np.array([np.bincount(x, minlength=len(letters) + 1) for x in (np.array(c, dtype=np.int64) for c in counts)], dtype=np.int16 if max(map(len, counts), default=0) < 1 << 15 else np.int32)
+    size = np.array([len(c) for c in counts])
+    ha, hb, sb, out = hist[: len(a)], hist[len(a) :], size[len(a) :], []
+    for x, h, n in zip(a, ha, size):
+        near = np.flatnonzero(2 * np.minimum(sb, n) >= floor * (sb + n) - 1e-9)
+        near = near[2 * np.minimum(hb[near], h).sum(axis=1, dtype=np.int64) >= floor * (sb[near] + n) - 1e-9]
+        for y in (b[i] for i in near):
+            if 2 * common_subsequence(x, y) >= floor * (len(x) + len(y)) - 1e-9:
+                r = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+                if r >= floor:
+                    out.append((x, y, r))
+    return out
+
+
 def lexical_attribution(spans: DataFrame, segments: DataFrame, gold: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """(span_id, unit, seg_no, ratio): segments of other than gold units that read like a span.
+    """(span_id, unit, seg_no, ratio): segments of other than gold units that read like a span, however their words are spelled.
 
-    Spans and segments meet on the rarer half of a span's words (by frequency in the segments), so nothing is crossed; a
-    segment in which every one of those words is spelled otherwise is not found, however alike its letters are.
+    Groups of distinct spans meet groups of distinct segments; lengths, letters and common subsequences bound the ratio.
     Columns: spans (span_id, span), segments (unit, seg_no, segment), gold (span_id, unit).
     """
     seg = segments.select("unit", "seg_no", T.lexical_form(F.col("segment")).alias("s"))
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    freq = seg.select(F.explode(words(F.col("s"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     sp = spans.select("span_id", T.lexical_form(F.col("span")).alias("p"))
-    from pyspark.sql import Window as W
+    p, s = sp.select("p").dropna().distinct(), seg.select("s").dropna().distinct()
+    n_p, n_s = -(-p.count() // 1024) or 1, -(-s.count() // 2048) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = p.select("p", F.pmod(F.xxhash64("p"), F.lit(n_p)).cast("int").alias("i"), every(n_s).alias("j"))
+    s = s.select("s", F.pmod(F.xxhash64("s"), F.lit(n_s)).cast("int").alias("j"), every(n_p).alias("i"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(alike(list(x["p"]), list(y["s"]), floor), columns=["p", "s", "ratio"])
 
-    r = sp.select("span_id", "p", F.explode(words(F.col("p"))).alias("w")).join(freq, "w", "left")
-    w = W.partitionBy("span_id").orderBy(F.coalesce("n", F.lit(0)), "w")
-    rare = r.withColumn("r", F.row_number().over(w)).withColumn("m", F.count("*").over(W.partitionBy("span_id"))).filter(F.col("r") * 2 <= F.col("m") + 1).select("span_id", "p", "w")
-    hit = rare.join(seg.select("unit", "seg_no", "s", F.explode(words(F.col("s"))).alias("w")), "w").select("span_id", "p", "unit", "seg_no", "s").distinct()
-    return ratio(hit.join(gold, ["span_id", "unit"], "left_anti"), "p", "s", floor=floor).select("span_id", "unit", "seg_no", F.bround("ratio", 4).alias("ratio"))
+    hit = p.groupBy("i", "j").cogroup(s.groupBy("i", "j")).applyInPandas(run, "p string, s string, ratio double")
+    return sp.join(hit, "p").join(seg, "s").join(gold, ["span_id", "unit"], "left_anti").select("span_id", "unit", "seg_no", F.bround("ratio", 4).alias("ratio"))
 
 
 def opcodes(a: str, b: str) -> list[tuple[str, str, str]]:

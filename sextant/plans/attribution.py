@@ -13,12 +13,11 @@ from sextant.sources.tables import table
 
 
 def lexical_attribution(spark, d):
-    """Each item's last passage sentence against the segments of all chunks outside its expected units."""
+    """Each segment of an item's passage (span_id ``item#number``) against the segments of all chunks outside its expected units."""
     i = table(spark, d, "eval_queries").dropDuplicates(["item_id"])
-    spans = i.select(F.col("item_id").alias("span_id"), F.element_at(T.segments(F.col("passage")), -1).alias("span")).filter("span IS NOT NULL")
+    spans = i.select("item_id", "expected_units", F.posexplode(T.segments(F.col("passage"))).alias("k", "span")).withColumn("span_id", F.concat_ws("#", "item_id", "k"))
     seg = chunks(spark, d, "text").filter("text IS NOT NULL").select(T.unit_of(F.col("chunk_id")).alias("unit"), F.posexplode(T.segments(F.col("text"))).alias("seg_no", "segment"))
-    gold = i.select(F.col("item_id").alias("span_id"), F.explode("expected_units").alias("unit"))
-    return A.lexical_attribution(spans, seg, gold)
+    return A.lexical_attribution(spans.select("span_id", "span"), seg, spans.select("span_id", F.explode("expected_units").alias("unit")))
 
 
 def adversarial_verdicts(spark, d):

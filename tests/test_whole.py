@@ -1,14 +1,16 @@
 """Queries on fixtures that a cut of the job would change."""
 
+import difflib
 import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from sextant.operators import attribution as A
 from sextant.operators import grounding as GR
 from sextant.operators import sampling as S
-from tests.schemas import ANSWERS, CHUNKS, LINES, REQUESTS, UNITS
+from tests.schemas import ANSWERS, CHUNKS, ITEMS, LINES, REQUESTS, UNITS
 
 
 def save(spark, folder, name, rows, schema):
@@ -111,3 +113,18 @@ def test_carried_headings_pass_over_pages(spark, tmp_path):
     save(spark, tmp_path, "lines", [(i, d, p, i, t, None, 0, len(t), None, None, None) for i, (d, p, t) in enumerate(said)], LINES)
     got = {x["heading"]: x["n_lines"] for x in E.queries()["carried_headings"](spark, str(tmp_path)).collect()}
     assert got == {"Record keeping": 4, "Scope": 3, "Loose heading": 2}
+
+
+def test_lexical_attribution_takes_every_segment_however_spelled(spark, tmp_path):
+    texts = ["The provider tests models.", "The provlder te5ts m0dels.", "Thee providers tessts modells.", "Something else stands here.", "Someth1ng elsse standz heere.", "Logs", "Logz", "1ogs."]
+    save(spark, tmp_path, "chunks", [(f"d:u{i}#p1", f"d:u{i}", "d", "section", None, t, 0, None) for i, t in enumerate(texts)], CHUNKS)
+    save(spark, tmp_path, "eval_queries", [(1, "a", "x", "q", f"{texts[0]} {texts[3]}", ["d:u0"]), (2, "b", "x", "q", "Logs", [])], ITEMS)
+    form = lambda t: " ".join(t.lower().replace(".", " ").split())
+    want = set()
+    for span, t, gold in (("1#0", texts[0], "d:u0"), ("1#1", texts[3], "d:u0"), ("2#0", "Logs", None)):
+        for i, x in enumerate(texts):
+            ratio = difflib.SequenceMatcher(None, form(t), form(x), autojunk=False).ratio()
+            if ratio >= A.FLOOR and f"d:u{i}" != gold:
+                want.add((span, f"d:u{i}", 0, round(ratio, 4)))
+    got = {tuple(x) for x in E.queries()["lexical_attribution"](spark, str(tmp_path)).collect()}
+    assert got == want and {"d:u1", "d:u4"} <= {u for _, u, _, _ in want}
