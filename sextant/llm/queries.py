@@ -62,9 +62,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_normalised(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").filter(F.col("chunk_id").isNotNull())
-    one = lookalikes.latest(c.select("chunk_id", "text", "ingested_at"), "chunk_id", ["ingested_at", "text"])
-    return lookalikes.normalised(one.select("chunk_id", "text"), "text").select("chunk_id", "text_normal", "text_changes")
+    return lookalikes.normalised_chunks(table(spark, d, "chunks"))
 
 
 def p8_assignment(spark: SparkSession, d: str) -> DataFrame:

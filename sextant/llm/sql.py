@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from sextant.llm.lookalikes import INVISIBLE, LOOKALIKE, SPACES
 from sextant.llm.words import NOT_SPACE
 
-_LATEST = """SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, text DESC NULLS LAST) = 1"""
+_LATEST = """SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, md5(text) DESC NULLS LAST) = 1"""
 
 _P3 = rf"SELECT chunk_id FROM ({_LATEST}) WHERE len(regexp_extract_all(text, '{NOT_SPACE}+')) > 400"
 
@@ -36,12 +35,14 @@ SELECT a AS chunk_id_a, b AS chunk_id_b FROM n JOIN s p ON p.chunk_id = a JOIN s
 WHERE c >= 0.7 * (len(p.x) + len(q.x) - c) AND p.record <> q.record"""
 
 
-def _class(chars: str) -> str:
-    return "[" + "".join(rf"\x{{{ord(c):x}}}" for c in chars) + "]"
-
-
-_FORMS = _class(INVISIBLE + SPACES)[:-1] + r"\x{fb00}-\x{fb06}\x{fb13}-\x{fb17}\x{132}\x{133}\x{1c4}-\x{1cc}\x{1f1}-\x{1f3}\x{ff01}-\x{ff9f}\x{ffa1}-\x{ffee}]"
-_LIKE = _class("".join(LOOKALIKE))
+#: Format characters, odd spaces, variation selectors, ligatures, digraphs, width forms, drawn letters: ranges of Unicode's charts.
+_FORMS = (
+    r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{3164}\x{fe00}-\x{fe0e}\x{feff}\x{fffe}"
+    r"\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{fb00}-\x{fb06}\x{fb13}-\x{fb17}\x{132}\x{133}\x{1c4}-\x{1cc}\x{1f1}-\x{1f3}\x{ff01}-\x{ffbe}\x{ffc2}-\x{ffee}"
+    r"\x{2102}\x{210a}-\x{2113}\x{2115}\x{2119}-\x{211d}\x{2124}\x{2128}\x{212c}\x{212d}\x{212f}-\x{2131}\x{2133}\x{2134}\x{1d400}-\x{1d7ff}]"
+)
+#: Letters of other alphabets drawn like Latin ones, also under an accent.
+_LIKE = "[АВЕЅІЈКМНОРСТУХҮЁЇаеѕіјкорсухһԁѵёїўΑΒΕΖΗΙΚΜΝΟΡΤΥΧΆΈΉΊΌΎαικνορυχάίόύϊϋϲϳօսհոցᎪᎫᎬᎷᎻᎳᏃᏙᏚᏞᏟᏢᏦᏴᎡᎢⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ]"
 
 
 def _odd(text: str) -> str:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.runtime import latest
+
 #: White space as Python's str.split() sees it, in Java's and RE2's syntax.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_SPACE = SPACE.replace("[", "[^")
@@ -13,3 +15,10 @@ NOT_SPACE = SPACE.replace("[", "[^")
 def token_count(text: Column) -> Column:
     """Number of white-space separated tokens; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE + "+")), F.lit(0))
+
+
+def newest(chunks: DataFrame, *cols: str) -> DataFrame:
+    """(chunk_id, cols) of the newest delivery of each chunk; of one time the text with the greatest digest, null lowest."""
+    rest = [c for c in cols if c != "chunk_id"]
+    read = chunks.select("chunk_id", *rest, "ingested_at", F.md5("text").alias("_digest"))
+    return latest(read, "chunk_id", ["ingested_at", "_digest"]).select("chunk_id", *rest)

@@ -1,6 +1,7 @@
 """Methods of the training-data operators against brute force, without Spark."""
 
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -130,6 +131,29 @@ def test_look_alikes(text, want):
     assert lookalikes.transduce(got) == (got, 0)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("e\u200b\u0301", "\u00e9"), ("\uff45\u0301", "\u00e9"), ("p\u0430\u0301l", "p\u00e1l"), ("p\u0430lace \U0001d400b", "palace Ab"), ("a\u0302\u0323 a\u0323\u0302", "\u1ead \u1ead"), ("\u13aabc", "Abc"), ("t\u0451st", "t\u00ebst"),
+        ("ｶﾞ", "ガ"), ("\u1112\u1161\u11ab", "한"), ("\U0001f468\u200d\U0001f469", "\U0001f468\u200d\U0001f469"), ("x\u200d\u0301y", "x\u0301y"), ("\u0301", "\u0301"),
+        ("надзор и р\u0430\u0301д", "надзор и р\u0430\u0301д"), ("pr\U0001d6fcy", "pray"), ("й", "й"), ("и\u0306", "й"), ("\u0131", "\u0131"),
+    ],
+)
+def test_clusters_have_one_form(text, want):
+    assert lookalikes.transduce(text)[0] == want and lookalikes.transduce(want) == (want, 0)
+
+
+ODD = st.text(st.sampled_from("ae xA.-\n0" + "\u0301\u0302\u0323\u0308\u0306\u3099" + "аеоирйёЕ" + "αοΩά" + "éạÅ\u212b\u2126" + "ｅﾞﾟｶ" + "\u200b\u200c\u200d\u00ad\ufe0f\u034f\ufffe\u115f" + "\u00a0\u2002\u2028" + "ﬁ\U0001d400\U0001d6fc\u13aa" + "می\u0915\u094d" + "\u1112\u1161\u11ab한하" + "\U0001f469\u2764"), max_size=14)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(ODD)
+def test_the_form_is_final_and_the_same_for_equal_texts(text):
+    got, n = lookalikes.transduce(text)
+    assert lookalikes.transduce(got) == (got, 0) and (n > 0) == (got != text)
+    assert lookalikes.transduce(unicodedata.normalize("NFD", text))[0] == got == lookalikes.transduce(unicodedata.normalize("NFC", text))[0]
+
+
 def test_table_has_no_conflicts():
     assert len(lookalikes.table()) > 1500
 
