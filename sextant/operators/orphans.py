@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.runtime import materialise, running_total
+
 #: Leading letters of a printed kind -> prefix of the unit's id.
 KIND_PREFIX = {"art": "art", "ann": "anx", "anx": "anx", "rec": "rct", "rct": "rct", "sec": "sec", "act": "act"}
 
@@ -39,25 +41,28 @@ def current_orphans(state: DataFrame) -> DataFrame:
     return state.filter((F.col("n_references") > 0) & (F.col("n_existing") <= 0))
 
 
-def timeline(deltas: DataFrame) -> DataFrame:
-    """(key, changes): the sorted signed changes of each key; as long as the key has changes, not references."""
-    return deltas.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "delta"))).alias("changes"))
-
-
-def reason_at(changes: Column, t: Column) -> Column:
-    """Null while the key's signed sum up to and including ``t`` is positive, else late, deleted or missing.
+def counted_at(references: DataFrame, existence: DataFrame) -> DataFrame:
+    """``references`` (with key and t) that are orphans, with ``reason``: by the signed count of their key at their time.
 
-    Without a time (null) the whole history counts as past.
+    References (+1 reference) and ``existence`` (key, t, delta) are one stream of signed changes. Along each key, in order
+    of time, the existence count runs; a reference at whose time it is not positive is an orphan. The running count is made
+    over range partitions, so neither a key with a third of all references nor one with many changes is gathered. Changes
+    at the time of a reference count; a reference without a time (null) comes after all changes, a change without one
+    before all. ``reason`` is late if the key is added later, else deleted if it was, else missing.
     """
-    past = F.when(t.isNull(), changes).otherwise(F.filter(changes, lambda c: c["t"] <= t))
-    existing = F.aggregate(past, F.lit(0), lambda n, c: n + c["delta"])
-    return (
-        F.when(changes.isNull(), "missing")
-        .when(existing > 0, None)
-        .when(t.isNotNull() & F.exists(changes, lambda c: (c["t"] > t) & (c["delta"] > 0)), "late")
-        .when(F.exists(past, lambda c: c["delta"] < 0), "deleted")
-        .otherwise("missing")
-    )
+    cols = references.columns
+    kept = references.withColumn("_id", F.monotonically_increasing_id())
+    asked = materialise(kept)
+    place = F.when(F.col("t").isNull(), F.when(F.col("_id").isNull(), 0).otherwise(2)).otherwise(1)
+    signed = asked.select("key", "t", "_id", F.lit(0).alias("delta")).unionByName(existence.select("key", "t", F.lit(None).cast("long").alias("_id"), "delta"))
+    # keys that nothing refers to need no count; of equal times the changes come first, the greater ones first of all
+    live = running_total(
+        signed.withColumn("_place", place), ["key"], [F.col("_place"), F.col("t"), F.col("_id").asc_nulls_first(), F.col("delta").desc()], F.col("delta"), "n_existing"
+    ).filter("_id IS NOT NULL AND n_existing <= 0").select("_id")
+    per_key = existence.groupBy("key").agg(F.max(F.when(F.col("delta") > 0, F.col("t"))).alias("_last"), F.min(F.when(F.col("delta") < 0, F.col("t"))).alias("_first"))
+    orphan = asked.join(live, "_id", "left_semi").join(per_key, "key", "left")
+    reason = F.when(F.col("_last") > F.col("t"), "late").when(F.col("_first").isNotNull() & (F.col("t").isNull() | (F.col("_first") <= F.col("t"))), "deleted").otherwise("missing")
+    return orphan.select(*cols, reason.alias("reason"))
 
 
 def unit_of_surface(doc: Column, surface: Column) -> Column:
@@ -114,28 +119,32 @@ def references(relations: DataFrame, found: DataFrame, answers: DataFrame) -> tu
 def orphan_references(relations: DataFrame, found: DataFrame, answers: DataFrame, units: DataFrame, requests: DataFrame) -> DataFrame:
     """(source_table, source_key, ref, reason, period): the references that point at nothing live at their time.
 
-    The key tables hold one row per key; the reference side is joined to them by key, so a key that a third of
-    all references share is split by adaptive skew handling and never gathered. Answers are judged against the
-    requests' mere existence; a second delivery counts once, with the earliest time. Empty tables give no rows.
+    All references, candidates and answers' keys go through the signed counts of ``counted_at`` together; requests exist
+    from the beginning of time. References without a key name nothing and are missing. A list of candidates is an orphan
+    if all of them are, with the first of late, deleted, missing that any has. A second delivery counts once, for answers
+    with the earliest time. Empty tables give no rows.
     """
     single, several, asked = references(relations, found, answers)
-    units_at = timeline(existence_deltas(units, "unit_id", "added_at", "deleted_at"))
-    period = F.date_format("t", "yyyy-MM").alias("period")
-    cols = ["source_table", "source_key", "ref", "reason", period]
-
-    one = single.join(units_at, "key", "left").withColumn("reason", reason_at(F.col("changes"), F.col("t")))
-    cand = several.select("*", F.explode(F.array_distinct("candidates")).alias("key")).join(units_at, "key", "left")
-    judged = cand.withColumn("why", reason_at(F.col("changes"), F.col("t")))
-    rank = F.when(F.col("why") == "late", 1).when(F.col("why") == "deleted", 2).when(F.col("why") == "missing", 3)
-    many = judged.groupBy("source_table", "source_key", "ref", "t").agg(
-        F.bool_or(F.col("why").isNull()).alias("live"), F.min(rank).alias("rank")
-    ).filter(~F.col("live")).withColumn("reason", F.element_at(F.array(F.lit("late"), F.lit("deleted"), F.lit("missing")), F.col("rank")))
+    several = several.withColumn("n", F.size(F.array_distinct("candidates")))
+    cand = several.select("source_table", "source_key", "ref", "t", "n", F.explode(F.array_distinct("candidates")).alias("key"))
     first = asked.groupBy("source_table", "source_key", "ref", "key").agg(F.min("t").alias("t"))
-    known = requests.select(F.col("custom_id").alias("key")).filter(F.col("key").isNotNull())
-    lost = first.join(known, "key", "left_anti").withColumn("reason", F.lit("missing"))
-    out = one.filter(F.col("reason").isNotNull()).select(*cols)
-    # several relations entries of one record may print the same reference: one orphan
-    return out.distinct().unionByName(many.select(*cols)).unionByName(lost.select(*cols))
+    none = F.lit(None).cast("int").alias("n")
+    every = single.select("source_table", "source_key", "ref", "t", none, "key").unionByName(cand).unionByName(first.select("source_table", "source_key", "ref", "t", none, "key"))
+    # units and requests have keys of different forms; the kind of key keeps them apart in any case
+    kind = lambda df, k: df.withColumn("key", F.concat(F.lit(k), F.col("key")))
+    mark = F.when(F.col("source_table") == "answers", "request ").otherwise("unit ")
+    known = requests.select(F.col("custom_id").alias("key")).dropna().distinct().select("key", F.lit(None).cast(every.schema["t"].dataType).alias("t"), F.lit(1).alias("delta"))
+    units_at = existence_deltas(units, "unit_id", "added_at", "deleted_at")
+    existence = kind(units_at, "unit ").unionByName(kind(known, "request "))
+    orphan = counted_at(every.filter("key IS NOT NULL").withColumn("key", F.concat(mark, F.col("key"))), existence)
+    nameless = every.filter("key IS NULL").withColumn("reason", F.lit("missing"))
+    orphan = orphan.unionByName(nameless)
+    period = F.date_format("t", "yyyy-MM").alias("period")
+    rank = F.when(F.col("reason") == "late", 1).when(F.col("reason") == "deleted", 2).otherwise(3)
+    reason = F.element_at(F.array(F.lit("late"), F.lit("deleted"), F.lit("missing")), F.min(rank)).alias("reason")
+    # a single reference printed twice by one record is one orphan; a list is one if none of its candidates is live
+    out = orphan.groupBy("source_table", "source_key", "ref", "t", "n").agg(reason, F.count("*").alias("dead")).filter("n IS NULL OR dead = n")
+    return out.select("source_table", "source_key", "ref", "reason", period).distinct()
 
 
 def reference_state(relations: DataFrame, found: DataFrame, answers: DataFrame, units: DataFrame, requests: DataFrame) -> DataFrame:
