@@ -5,29 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.runtime import latest
+from sextant.runtime import broadcast_below, materialise
 
 #: Labels of the fields of an action.
 LABELS = ["suggested action", "risks", "actors", "evidence"]
-#: Letters whose counts make the cheap invariant.
-LETTERS = "aeiostnrdlcm"
+#: Letters whose counts split a class of one length.
+LETTERS = "eatn"
 _AT_START = r"(?:^|[\n|])[ \t*\x{2022}\x{b7}>-]*(?=(?:" + "|".join(LABELS) + r")\b)"
 _ANYWHERE = _AT_START + r"|(?<=\s)(?=(?:" + "|".join(LABELS) + r")\s*:)"
 
 
 def bare(text: Column) -> Column:
-    """Lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
-
-
-def _count(text: Column, letter: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, letter, ""))
+    """Lower case, letters and digits only; ASCII texts take the cheaper of two equal patterns."""
+    low = F.lower(text)
+    ascii_only = F.regexp_replace(low, "[^a-z0-9]+", "")
+    return F.when(F.octet_length(text) == F.length(text), ascii_only).otherwise(F.regexp_replace(low, r"[^\p{L}\p{N}]+", ""))
 
 
-def invariants(text: Column) -> Column:
-    """Stripped length and letter histogram, as one hash; the order of fields does not matter to it."""
-    b = bare(text)
-    return F.xxhash64(F.length(b), *[_count(b, x) for x in LETTERS])
+def histogram(b: Column) -> Column:
+    """Counts of a few letters of a bare text as one number; the order of fields does not matter to it."""
+    return F.xxhash64(*[F.octet_length(b) - F.octet_length(F.replace(b, F.lit(x), F.lit(""))) for x in LETTERS])
 
 
 def identity(text: Column, unit_type: Column) -> Column:
@@ -42,21 +39,43 @@ def identity(text: Column, unit_type: Column) -> Column:
     return F.when(unit_type == "action", F.concat(F.lit("fields:"), F.array_join(fields, "|"))).otherwise(F.concat(F.lit("text:"), bare(text)))
 
 
-def refined_classes(chunks: DataFrame) -> DataFrame:
+def newest_texts(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, at, size, hist): the newest delivery of each chunk by its time and digest ``at``, with its cheap invariants.
+
+    Of deliveries of one time the greatest digest is the newest. Chunks whose newest text is null, and null ids, are left
+    out. No text is shuffled: ids, digests and invariants are.
+    """
+    b = bare(F.col("text"))
+    # what a text gives goes through a generator, so that the text is stripped once and not for each invariant
+    read = chunks.select("chunk_id", "ingested_at", "text").filter(F.col("chunk_id").isNotNull()).select(
+        "chunk_id", "ingested_at", F.md5("text").alias("digest"), F.explode(F.array(b)).alias("b")
+    )
+    slim = read.select("chunk_id", F.struct("ingested_at", "digest").alias("at"), F.length("b").alias("size"), histogram(F.col("b")).alias("hist"))
+    newest = slim.groupBy("chunk_id").agg(F.max_by(F.struct("at", "size", "hist"), "at").alias("x"))
+    return newest.filter("x.at.digest IS NOT NULL").select("chunk_id", "x.at", "x.size", "x.hist")
+
+
+def _several(df: DataFrame, *key: str) -> DataFrame:
+    """The rows of ``df`` whose key more rows have; counted map-side, so a hot key costs a row per task."""
+    shared = df.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").select(*key)
+    return df.join(shared, list(key), "left_semi")
+
+
+def refined_classes(chunks: DataFrame, newest: DataFrame | None = None) -> DataFrame:
     """(record, chunk_id) for the chunks that share their record with another one; ``record`` is a digest.
 
-    Round 1 groups by cheap invariants, as counts, pre-aggregated. Round 2 reads the texts of classes with
-    several members only and makes the costly key. A text without a letter or digit (empty texts too) is the
-    record of no letters. Null texts and ids are left out; chunks delivered twice count once (the latest).
+    Progressive refinement of the newest deliveries: classes of one stripped length, inside those with several members
+    classes of one letter histogram, and only inside those again the costly key, for which their texts are read. A text
+    without a letter or digit (empty texts too) is the record of no letters. Chunks delivered twice count once.
     """
-    src = chunks.select("chunk_id", "unit_type", "text", "ingested_at").filter(F.col("chunk_id").isNotNull())
-    inv = invariants(F.coalesce("text", F.lit("")))
-    slim = src.select("chunk_id", F.struct("ingested_at", F.xxhash64("text").alias("h")).alias("at"), inv.alias("inv"), F.col("text").isNotNull().alias("has"))
-    newest = slim.groupBy("chunk_id").agg(F.max_by(F.struct("inv", "has"), "at").alias("x")).filter("x.has").select("chunk_id", "x.inv")
-    shared = newest.groupBy("inv").agg(F.count("*").alias("n")).filter("n > 1").select("inv")
-    kept = src.filter(F.col("text").isNotNull()).withColumn("inv", inv).join(shared, "inv", "left_semi").drop("inv")
-    keyed = kept.select("chunk_id", F.struct("ingested_at", F.xxhash64("text").alias("h")).alias("at"), F.sha2(identity(F.col("text"), F.col("unit_type")), 256).alias("record"))
-    return keyed.groupBy("chunk_id").agg(F.max_by("record", "at").alias("record")).select("record", "chunk_id")
+    newest = materialise(newest_texts(chunks)) if newest is None else newest
+    left = materialise(_several(_several(newest, "size"), "size", "hist").select("chunk_id", "at"))
+    texts = chunks.select("chunk_id", F.struct("ingested_at", F.md5("text").alias("digest")).alias("at"), "unit_type", "text")
+    # ids and digests of what is left choose the texts; a delivery that comes twice is one
+    kept = texts.join(broadcast_below(left, 64 << 20), ["chunk_id", "at"], "left_semi")
+    keyed = kept.select("chunk_id", F.sha2(identity(F.col("text"), F.col("unit_type")), 256).alias("record"))
+    one = materialise(keyed.groupBy("chunk_id").agg(F.max("record").alias("record")))
+    return _several(one.select("record", "chunk_id"), "record")
 
 
 def grouped(classes: DataFrame) -> DataFrame:
@@ -72,20 +91,19 @@ def copies_found(chunks: DataFrame) -> DataFrame:
 
 def one_record_each(chunks: DataFrame) -> DataFrame:
     """(chunk_id, n_copies): one chunk per record with the number of chunks that are it (1 where single)."""
-    c = refined_classes(chunks)
+    newest = materialise(newest_texts(chunks))
+    c = refined_classes(chunks, newest)
     several = grouped(c).select(F.col("first_chunk_id").alias("chunk_id"), "n_copies")
-    in_group = c.join(grouped(c).select("record"), "record", "left_semi").select("chunk_id")
-    valid = latest(chunks.select("chunk_id", F.col("text").isNull().alias("no"), F.xxhash64("text").alias("h"), "ingested_at"), "chunk_id", ["ingested_at", "h"]).filter(~F.col("no"))
-    single = valid.select("chunk_id").join(in_group, "chunk_id", "left_anti").withColumn("n_copies", F.lit(1).cast("long"))
+    single = newest.select("chunk_id").join(c.select("chunk_id"), "chunk_id", "left_anti").withColumn("n_copies", F.lit(1).cast("long"))
     return several.unionByName(single)
 
 
 def group_counts(chunks: DataFrame) -> DataFrame:
     """(basis, n_groups, n_chunks) of groups of two or more, by equal raw texts and by equal records."""
-    one = latest(chunks.select("chunk_id", F.sha2("text", 256).alias("raw"), F.xxhash64("text").alias("h"), "ingested_at"), "chunk_id", ["ingested_at", "h"])
-    raw = one.filter(F.col("raw").isNotNull()).groupBy("raw").agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
+    newest = materialise(newest_texts(chunks))
+    raw = newest.groupBy(F.col("at.digest").alias("raw")).agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
 
     def total(df: DataFrame, basis: str) -> DataFrame:
         return df.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n_chunks")).select(F.lit(basis).alias("basis"), "n_groups", "n_chunks")
 
-    return total(raw, "raw_identity").unionByName(total(grouped(refined_classes(chunks)), "normalised_identity"))
+    return total(raw, "raw_identity").unionByName(total(grouped(refined_classes(chunks, newest)), "normalised_identity"))
