@@ -28,6 +28,10 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return sketching.duplicate_classes(table(spark, d, "chunks"))
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return sketching.duplicate_groups(table(spark, d, "chunks"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.renumbered(splitting.split_oversized(table(spark, d, "chunks")))
 
@@ -78,8 +82,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    tiled = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_queries"))
-    return tiled.filter((F.col("longest") >= leaks.RUN) | (F.col("covered") >= 0.5))
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_queries")).withColumn("covered", F.bround("covered", 6))
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -93,4 +96,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shapes.shaped(table(spark, d, "documents"), table(spark, d, "wordlist")).filter("shape <> 'prose'").select("doc_id", "shape")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_classes, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p5_defects, p5_found, p6_found, p6_normalised, p8_assignment, p8_fill, p9_found, p9_leaks, p10_statistics, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_classes, p2_groups, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p5_defects, p5_found, p6_found, p6_normalised, p8_assignment, p8_fill, p9_found, p9_leaks, p10_statistics, p10_found)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,43 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.copies import identity
-from sextant.runtime import latest, materialise
+from sextant.llm.words import WORD, mix, newest, word_hashes
+from sextant.operators.graph import components
+from sextant.runtime import materialise
 
 THRESHOLD = 0.7
 WIDTH = 3
 ROWS, BANDS = 5, 50  # a pair at the threshold shares no band with probability (1 - 0.7^5)^50 = 1e-4
-#: Buckets above this many members are verified in blocks instead of being joined with themselves.
+#: Buckets above this many members are not joined with themselves: their members meet by rare shingles, without loss.
 BLOCK = 256
-WORD = re.compile(r"[a-z0-9]+")
-_M = np.uint64(0xFF51AFD7ED558CCD)
-_N = np.uint64(0xC4CEB9FE1A85EC53)
-_S = np.uint64(33)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser."""
-    x = (x ^ (x >> _S)) * _M
-    x = (x ^ (x >> _S)) * _N
-    return x ^ (x >> _S)
-
-
-_known: dict[str, int] = {}
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    """A stable 64-bit number per word (FNV-1a, mixed); numbers of words met before are kept, up to a million."""
-    if len(_known) > 1_000_000:
-        _known.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = _known.get(w)
-        if h is None:
-            h = 0xCBF29CE484222325
-            for b in w.encode():
-                h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-            _known[w] = h
-        out[i] = h
-    return mix(out)
+#: Shingles sketched at once; bounds the memory of a batch, not the length of a text.
+_AT_ONCE = 1 << 19
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -61,32 +34,39 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(acc)
 
 
-def sketch(items: np.ndarray, t: int = ROWS * BANDS) -> np.ndarray:
-    """Fast similarity sketch of a non-empty set: ``t`` values, equal per place with the sets' similarity.
+def sketches(sets: list[np.ndarray], t: int = ROWS * BANDS) -> np.ndarray:
+    """Fast similarity sketches of non-empty sets: ``t`` values each, equal per place with the sets' similarity.
 
     In each of the first ``t`` rounds every item lands in one hashed bin, in the next ``t`` all land in the bin of
-    that round; a bin keeps its least (round, value), and the rounds end once no bin is empty.
+    that round; a bin keeps its least (round, value), and a set's rounds end once none of its bins is empty.
     """
-    out = np.full(t, np.iinfo(np.uint64).max, np.uint64)
-    low = np.uint64((1 << 52) - 1)
+    empty = np.iinfo(np.uint64).max
+    out = np.full((len(sets), t), empty, np.uint64)
+    low, flat = np.uint64((1 << 52) - 1), np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     for i in range(2 * t):
-        h = mix(items + np.uint64((i + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-        value = (mix(h) & low) | (np.uint64(i) << np.uint64(52))
-        if i < t:
-            np.minimum.at(out, (h % np.uint64(t)).astype(np.int64), value)
-        else:
-            out[i - t] = min(out[i - t], value.min())
-        if int(out.max()) >> 52 <= i:
+        if not len(flat):
             break
+        h = mix(flat + np.uint64((i + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+        value = (mix(h) & low) | (np.uint64(i) << np.uint64(52))
+        place = (h % np.uint64(t)).astype(np.int64) if i < t else i - t
+        np.minimum.at(out.reshape(-1), row * t + place, value)
+        left = (out == empty).any(axis=1)[row]
+        flat, row = flat[left], row[left]
     return out
 
 
+def sketch(items: np.ndarray, t: int = ROWS * BANDS) -> np.ndarray:
+    """The sketch of one non-empty set."""
+    return sketches([items], t)[0]
+
+
 def bands_of(values: np.ndarray) -> np.ndarray:
-    """One hash per band of ROWS sketch values; the number of the band is part of it."""
-    v = values.reshape(BANDS, ROWS)
-    acc = np.arange(1, BANDS + 1, dtype=np.uint64)
+    """One hash per set and band of ROWS sketch values; the number of the band is part of it."""
+    v = values.reshape(-1, BANDS, ROWS)
+    acc = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(v), 1))
     for k in range(ROWS):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + v[:, k])
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + v[:, :, k])
     return acc
 
 
@@ -100,18 +80,17 @@ def members(chunks: DataFrame) -> DataFrame:
 
     Chunks delivered twice count once (the latest); null ids, null texts and texts shorter than a shingle are left out.
     """
-    one = latest(chunks.select("chunk_id", "unit_type", "text", "ingested_at"), "chunk_id", ["ingested_at", "text"])
-    src = one.filter(F.col("text").isNotNull()).select("chunk_id", F.xxhash64(identity(F.col("text"), F.col("unit_type"))).alias("record"), "text")
+    src = newest(chunks, "unit_type", "text").filter(F.col("text").isNotNull()).select("chunk_id", F.xxhash64(identity(F.col("text"), F.col("unit_type"))).alias("record"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for cid, rec, text in b.itertuples(index=False):
-                s = shingles(text)
-                if len(s):
-                    cls = mix(np.array([np.bitwise_xor.reduce(mix(s)) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]
-                    rows.append((cid, rec, cls, s.view(np.int64), bands_of(sketch(s)).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["chunk_id", "record", "cls", "items", "bands"])
+            sets = [shingles(t) for t in b["text"]]
+            at, size = np.flatnonzero([len(s) > 0 for s in sets]), np.cumsum([len(s) for s in sets])
+            for group in np.split(at, np.flatnonzero(np.diff(size[at] // _AT_ONCE)) + 1) if len(at) else ():
+                mine = [sets[i] for i in group]
+                cls = mix(np.array([np.bitwise_xor.reduce(mix(s)) + np.uint64(len(s)) for s in mine], np.uint64)).view(np.int64)
+                bands = bands_of(sketches(mine)).view(np.int64)
+                yield pd.DataFrame({"chunk_id": b["chunk_id"].iloc[group], "record": b["record"].iloc[group], "cls": cls, "items": [s.view(np.int64) for s in mine], "bands": list(bands)})
 
     return src.mapInPandas(run, "chunk_id string, record long, cls long, items array<long>, bands array<long>")
 
@@ -129,45 +108,37 @@ def _verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
-def _in_blocks(hot: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs inside buckets above BLOCK members: blocks of a bucket meet in pairs, each pair of blocks in its own task.
+def _by_rare_items(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) candidate classes among ``sets`` (cls, items), complete for the threshold, without comparing all.
 
-    Only pairs that reach the threshold leave a task.
+    Items are ordered by how few sets hold them. Two similar sets share an item among the first of each, as many as may be
+    missing and one; sizes and places bound what they can share at most. Ids travel, no sets.
     """
-    k = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = hot.withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = placed.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cls").join(reps.select("cls", "items"), "cls")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
-        left, right = g[g["i"] == lo], g[g["i"] == hi]
-        out = []
-        where: dict[int, list[int]] = {}
-        for pos, items in enumerate(right["items"]):
-            for it in items:
-                where.setdefault(it, []).append(pos)
-        ids, sizes = right["cls"].to_numpy(), np.array([len(x) for x in right["items"]], np.int64)
-        for cls, items in zip(left["cls"], left["items"]):
-            hits = np.zeros(len(ids), np.int64)
-            for it in items:
-                if it in where:
-                    hits[where[it]] += 1
-            ok = hits >= threshold * (sizes + len(items) - hits)
-            out += [(min(cls, o), max(cls, o)) for o in ids[ok] if o != cls]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    return cells.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+    each = sets.select("cls", F.size("items").alias("size"), F.explode("items").alias("it"))
+    known = each.join(each.groupBy("it").agg(F.count("*").alias("n")), "it")
+    first = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
+    sorted_items = known.groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("n", "it"))).alias("s"))
+    prefix = sorted_items.select("cls", "size", F.posexplode(F.slice("s", F.lit(1), first)).alias("pos", "x")).filter("x.n > 1").select("cls", "size", "pos", F.col("x.it").alias("it"))
+    x, y = (prefix.select("it", F.col("cls").alias(c), F.col("size").alias(f"s{c}"), F.col("pos").alias(f"p{c}")) for c in "ab")
+    most = 1 + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) - 1
+    need = F.lit(threshold / (1 + threshold)) * (F.col("sa") + F.col("sb")) - 1e-9
+    return x.join(y, "it").filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb")) & (most >= need)).select("a", "b").distinct()
 
 
 def similar_classes(m: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) with a < b: classes of different shingle sets whose similarity reaches the threshold."""
+    """(a, b) with a < b: classes of different shingle sets whose similarity reaches the threshold.
+
+    Classes that share a band meet in its bucket. Buckets of more than BLOCK classes are resolved among their members by
+    rare items, which finds every pair of them that the bucket could give, and more.
+    """
     reps = m.groupBy("cls").agg(F.first("items").alias("items"), F.first("bands").alias("bands"))
     keys = reps.select("cls", F.size("items").alias("size"), F.explode("bands").alias("key"))
     sized = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-    calm = sized.filter(F.col("n") <= BLOCK)
+    calm, hot = sized.filter(F.col("n") <= BLOCK), sized.filter(F.col("n") > BLOCK).select("cls").distinct()
     x, y = (calm.select("key", F.col("cls").alias(c), F.col("size").alias(f"s{c}")) for c in "ab")
-    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb"))).select("a", "b").distinct()
-    return _verify(pairs, reps, threshold).unionByName(_in_blocks(sized.filter(F.col("n") > BLOCK), reps, threshold)).distinct()
+    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb"))).select("a", "b")
+    more = _by_rare_items(reps.select("cls", "items").join(hot, "cls", "left_semi"), threshold)
+    return _verify(pairs.unionByName(more).distinct(), reps, threshold)
 
 
 def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,7 +163,19 @@ def duplicate_classes(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFr
     """
     m = materialise(members(chunks))
     links = similar_classes(m, threshold)
-    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     first = m.groupBy("cls").agg(F.min("chunk_id").alias("class_id"))
     per = first.join(ends, "cls", "left").select("cls", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return m.select("cls", "chunk_id").join(per, "cls").select("chunk_id", "class_id", "n_links")
+
+
+def duplicate_groups(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(chunk_id, group_id, n_chunks): one row per chunk with a shingle; groups are what links at or above the threshold connect.
+
+    ``group_id`` is the smallest chunk_id of the group, ``n_chunks`` the number of its chunks, copies included.
+    """
+    m = materialise(members(chunks))
+    c = components(similar_classes(m, threshold)).select(F.col("node").alias("cls"), "component")
+    ids = m.select("cls", "chunk_id").join(c, "cls", "left").select("chunk_id", F.coalesce("component", "cls").alias("component"))
+    groups = ids.groupBy("component").agg(F.min("chunk_id").alias("group_id"), F.count("*").alias("n_chunks"))
+    return ids.join(groups, "component").select("chunk_id", "group_id", "n_chunks")

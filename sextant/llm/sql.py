@@ -26,13 +26,19 @@ UNION ALL SELECT 'normalised_identity', count(*), CAST(coalesce(sum(n_copies), 0
 
 
 #: Pairs that share a shingle, counted; exact, for all chunks.
-_P2 = rf"""{_RECORDS},
+_PAIRS = rf"""{_RECORDS.replace('WITH c AS', 'WITH RECURSIVE c AS')},
 w AS (SELECT chunk_id, record, regexp_extract_all(lower(text), '[a-z0-9]+') t FROM k),
 s AS (SELECT chunk_id, record, list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) x FROM w WHERE len(t) >= 3),
 e AS (SELECT chunk_id, unnest(x) g FROM s),
-n AS (SELECT a.chunk_id a, b.chunk_id b, count(*) c FROM e a JOIN e b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
-SELECT a AS chunk_id_a, b AS chunk_id_b FROM n JOIN s p ON p.chunk_id = a JOIN s q ON q.chunk_id = b
-WHERE c >= 0.7 * (len(p.x) + len(q.x) - c) AND p.record <> q.record"""
+n AS (SELECT a.chunk_id a, b.chunk_id b, count(*) c FROM e a JOIN e b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2),
+p2 AS (SELECT a, b, p.record ra, q.record rb, c = len(p.x) AND c = len(q.x) AS same FROM n JOIN s p ON p.chunk_id = a JOIN s q ON q.chunk_id = b WHERE c >= 0.7 * (len(p.x) + len(q.x) - c))"""
+_P2 = f"{_PAIRS} SELECT a AS chunk_id_a, b AS chunk_id_b FROM p2 WHERE ra <> rb"
+_P2_CLASSES = f"""{_PAIRS}, z AS (SELECT s.chunk_id, least(s.chunk_id, min(a)) class_id FROM s LEFT JOIN p2 ON p2.b = s.chunk_id AND same GROUP BY s.chunk_id),
+l AS (SELECT x.class_id u, y.class_id v FROM (SELECT a, b FROM p2 UNION ALL SELECT b, a FROM p2) JOIN z x ON x.chunk_id = a JOIN z y ON y.chunk_id = b WHERE x.class_id <> y.class_id)
+SELECT chunk_id, class_id, coalesce(n, 0) AS n_links FROM z LEFT JOIN (SELECT u, count(DISTINCT v) n FROM l GROUP BY u) ON u = class_id"""
+_P2_GROUPS = f"""{_PAIRS}, e2 AS (SELECT a, b FROM p2 UNION SELECT b, a FROM p2), reach(node, other) AS (SELECT chunk_id, chunk_id FROM s UNION SELECT reach.node, e2.b FROM reach JOIN e2 ON e2.a = reach.other),
+r AS (SELECT node, min(other) g FROM reach GROUP BY node)
+SELECT node AS chunk_id, g AS group_id, count(*) OVER (PARTITION BY g) AS n_chunks FROM r"""
 
 
 #: Format characters, odd spaces, variation selectors, ligatures, digraphs, width forms, drawn letters: ranges of Unicode's charts.
@@ -75,4 +81,4 @@ SELECT doc_id, CAST(len(w) AS INT) AS n_words, round_even(coalesce((ink - sym) /
   round_even(coalesce(len(list_filter(w, lambda x: list_contains(c, x))) / nullif(len(w), 0), 0), 6) AS common_word_share
 FROM f, c"""
 
-SQL = {"p9_found": _P9, "p10_statistics": _P10, "p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p4_records": _P4_RECORDS, "p4_group_counts": _P4_COUNTS, "p6_found": _P6}
+SQL = {"p9_found": _P9, "p10_statistics": _P10, "p2_found": _P2, "p2_classes": _P2_CLASSES, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p4_found": _P4, "p4_records": _P4_RECORDS, "p4_group_counts": _P4_COUNTS, "p6_found": _P6}

@@ -1,6 +1,7 @@
 """Methods of the training-data operators against brute force, without Spark."""
 
 import random
+import time
 import unicodedata
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sextant.llm import leaks, lookalikes, packing, pairs, scans, shapes, sketching, splitting
+from sextant.llm import leaks, lookalikes, packing, pairs, scans, shapes, sketching, splitting, validation
 
 
 def distance(a, b):
@@ -99,6 +100,20 @@ def test_cuts_keep_the_limit(strength, limit, data):
         before = c
 
 
+def test_long_texts_without_boundaries_take_little_time():
+    began = time.time()
+    for strength in ([0] * 400_000, ([0] * 700 + [3]) * 500, [0] * 200_000 + [3] * 200_000):
+        assert splitting.cut_points(strength)[-1] == len(strength)
+    assert time.time() - began < 6
+
+
+def test_one_more_piece_for_a_natural_cut():
+    # 760 tokens fit two pieces only with a cut at 400; boundaries at 300 and 560 ask for three
+    strength = [0] * 760
+    strength[299] = strength[559] = 3
+    assert splitting.cut_points(strength) == [300, 560, 760]
+
+
 def test_pieces_rebuild_the_text():
     r = random.Random(2)
     text = " ".join(f"w{i}" + r.choice(["", "", ",", ".", ".\n\n"]) for i in range(2000))
@@ -210,6 +225,12 @@ def test_tiles(doc, item):
     assert [n for n, _, _ in t] == sorted((n for n, _, _ in t), reverse=True)
 
 
+def test_tiles_of_repeated_words_take_little_time():
+    began = time.time()
+    assert leaks.tiles([1, 2, 3] * 7000, [1, 2, 3] * 700)[0][0] == 2100
+    assert leaks.tiles([], [1, 2]) == leaks.tiles([1], []) == [] and time.time() - began < 2
+
+
 def test_label_model_trusts_agreement_and_ignores_abstention():
     patterns = np.array([[0, 0, 0], [1, 1, 1], [1, 1, -1], [0, -1, 0], [0, 0, 1]])
     post = pairs.label_model(patterns, np.array([900.0, 40, 10, 30, 20]))
@@ -226,3 +247,10 @@ def test_rules_hold_on_unseen_documents():
         return next((t for rule, t in rules if all((row["abc".index(f)] >= v) if op == ">=" else (row["abc".index(f)] <= v) for f, op, v in rule)), "prose")
     assert np.mean([predict(v) == s for v, s in zip(x[1::2], shape[1::2])]) > 0.9
     assert shapes.to_case([]) == "'prose'"
+
+
+def test_cutoffs_are_validated_on_made_pairs():
+    assert validation.fitted_cutoffs(validation.made_pairs(1500, 1)) == pairs.CUTOFF
+    post, true = validation.posteriors(validation.made_pairs(1500, 2))
+    for j, d in enumerate(pairs.DEFECTS):
+        assert validation.f1(post[:, j], true[:, j], pairs.CUTOFF[d]) > 0.93, d

@@ -69,6 +69,27 @@ def test_near_duplicate_classes(spark):
     assert got == {"a": ("a", 1), "b": ("a", 1), "c": ("c", 1), "z": ("z", 0)}
 
 
+@pytest.mark.parametrize("block", [256, 6])
+def test_near_duplicate_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(sketching, "BLOCK", block)
+    r = random.Random(5)
+    texts, want = [], {}
+    for g in range(4):
+        w = prose(r, 80).split()
+        for i in range(12):  # a chain: each text is like the one before, the ends are not alike
+            texts.append((f"{g}{i:02d}", " ".join(w)))
+            for k in range(2):
+                w[(i * 5 + k * 37) % 80] = r.choice(WORDS)
+    pairs = brute_pairs(texts, 0.7)
+    for k, _ in texts:
+        want[k] = k
+    for _ in range(12):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {x["chunk_id"]: (x["group_id"], x["n_chunks"]) for x in sketching.duplicate_groups(chunks(spark, texts)).collect()}
+    assert got == {k: (v, sum(x == v for x in want.values())) for k, v in want.items()}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert sketching.near_duplicates(chunks(spark, [])).count() == 0
 
@@ -121,6 +142,25 @@ def test_latest_delivery_counts(spark):
     assert rows(copies.copies_found(spark.createDataFrame(data, S.CHUNKS))) == []
 
 
+def test_an_older_delivery_does_not_come_back(spark):
+    new = D(2024, 2, 1)
+    given = [("x", "old text", T0), ("x", "different", new), ("y", "Old text", T0), ("z", "old, TEXT", T0), ("w", "old text", T0), ("w", None, new), ("v", "b", new), ("v", "a", new), ("u", "A", T0), ("q", "q", None), ("r", "Q", None)]
+    c = spark.createDataFrame([(k, k, "d", "section", None, t, 1, at) for k, t, at in given], S.CHUNKS)
+    assert rows(copies.copies_found(c)) == [("q", "r"), ("y", "z")]
+    # of two deliveries of one time the greater digest counts: md5 of b is 92eb..., of a 0cc1...
+    assert rows(copies.one_record_each(c)) == [("q", 2), ("u", 1), ("v", 1), ("x", 1), ("y", 2)]
+    assert {r["basis"]: (r["n_groups"], r["n_chunks"]) for r in copies.group_counts(c).collect()} == {"raw_identity": (0, 0), "normalised_identity": (2, 4)}
+
+
+def test_refinement_equals_one_costly_key(spark):
+    r = random.Random(6)
+    texts = [(f"t{i:03d}", " ".join(r.choice(["ab", "ba", "a-b", "Ab", "ü"]) for _ in range(r.randrange(4)))) for i in range(150)]
+    want = defaultdict(list)
+    for k, t in texts:
+        want["".join(c for c in t.lower() if c.isalnum())].append(k)
+    assert rows(copies.copies_found(chunks(spark, texts))) == sorted((v[0], x) for v in want.values() for x in v[1:])
+
+
 # ---- problem 5
 
 LISTED = [(w, lang, True) for lang, ws in {"en": "the of and what must do when is tested are shall by for in it that can", "de": "der die das und soll was muss wenn wird ist nicht kann auf mit", "fr": "le la les des est dans que pour par une doit", "es": "el los las del que debe para una por se"}.items() for w in ws.split()]
@@ -200,12 +240,35 @@ def test_leaks(spark):
         (6, " zq ".join(" ".join(w[i : i + 10]) for i in (50, 30, 10, 0, 20, 40))), (7, " ".join(w[:7])), (8, " ".join(w[7:20])), (9, prose(r, 30) * 300),
     ]
     assert rows(leaks.leaked(docs(spark, texts), items.unionByName(items))) == [(1, 1), (5, 1), (8, 1)]
-    # in blocks of one item the result is the same, and reordered tiles cover the passage
-    tiled = leaks.leaks(docs(spark, texts), items, block=1)
+    # reordered tiles cover the passage
+    tiled = leaks.leaks(docs(spark, texts), items)
     assert [(x["doc_id"], x["covered"]) for x in tiled.filter("part = 'passage' AND item_id = 1 AND covered > 0.9").collect()] == [(6, 1.0)]
     assert leaks.leaked(docs(spark, []), items).count() == 0 and leaks.leaked(docs(spark, texts), items.limit(0)).count() == 0
 
 
+def test_leaks_equal_tiling_of_every_pair(spark):
+    r = random.Random(12)
+    phrase = " ".join("abcdefghij"[i] for i in range(8))  # a phrase in every text and item
+    parts = {i: f"{prose(r, r.choice([6, 14, 30]))} {phrase} {prose(r, 12)}" for i in range(12)}
+    texts = []
+    for i in range(60):
+        w = parts[i % 12].split()
+        a, b = sorted(r.sample(range(len(w) + 1), 2))
+        texts.append((i, " ".join([prose(r, 5), *w[a:b], phrase, *w[: r.randrange(9)], phrase, prose(r, 4)])))
+    items = spark.createDataFrame([(i, "a", "t", None, p, None) for i, p in parts.items()], S.ITEMS)
+    want = set()
+    for d, t in texts:
+        for i, p in parts.items():
+            ids: dict = {}
+            x, y = ([ids.setdefault(w, len(ids)) for w in z.split()] for z in (t, p))
+            got = leaks.tiles(x, y)
+            covered = sum(n for n, _, _ in got) / len(y)
+            if got and (got[0][0] >= leaks.RUN or covered >= leaks.COVERED):
+                want.add((d, i, got[0][0], round(covered, 9)))
+    found = leaks.leaks(docs(spark, texts), items).collect()
+    assert {(x["doc_id"], x["item_id"], x["longest"], round(x["covered"], 9)) for x in found} == want and len(found) == len(want) > 20
+
+
 # ---- problem 10
 
 
@@ -266,6 +329,22 @@ def test_paragraphs(spark):
     assert "each release of the system and record the results of the model test" in text and "third-party" in text
 
 
+def test_misread_words_at_line_ends_and_short_ones(spark):
+    data = scanned()
+    at = {(x[2], x[3]): x[0] for x in data}
+    change = {at[2, 2]: ("In", "1n"), at[3, 5]: ("system.", "5ystem."), at[4, 3]: ("tem and", "tem 4nd"), at[6, 4]: ("model as", "rnodel as"), at[7, 4]: ("third-party", "th1rd-party"), at[2, 5]: ("system.", "systern.")}
+    data = [(*x[:4], x[4].replace(*change[x[0]], 1) if x[0] in change else x[4], *x[5:]) for x in data]
+    got = {x["line_id"] for x in scans.noise(spark.createDataFrame(data, S.LINES), spark.createDataFrame([], S.WORDLIST)).collect() if x["noise"] == "misread"}
+    assert {at[3, 5], at[4, 3], at[7, 4], at[2, 5], at[6, 4]} <= got and got <= set(change) | {x[0] for x in data if "rnodel" in x[4] or "resulfs" in x[4]}
+
+
+def test_broken_word_over_a_page_of_furniture_only(spark):
+    data = [x for x in scanned() if x[2] != 3] + page("d", 3, 41, ["Rules for Models", "Page 3 of 8"])
+    data = [(*x[:4], "can test the sys-", *x[5:]) if (x[2], x[3]) == (2, 5) else (*x[:4], "tem " + x[4], *x[5:]) if (x[2], x[3]) == (4, 2) else x for x in data]
+    got = {x["line_id"] for x in scans.noise(spark.createDataFrame(data, S.LINES), spark.createDataFrame([], S.WORDLIST)).collect() if x["noise"] == "broken_word"}
+    assert next(x[0] for x in data if x[4] == "can test the sys-") in got
+
+
 def test_noise_of_odd_lines(spark):
     odd = [(1, "d", 1, 1, None, None, None, None, None, None, None), (2, "d", None, None, "text", None, None, None, None, None, None), (None, "d", 1, 1, "text", None, None, None, None, None, None), (3, None, 1, 1, "text", None, None, None, None, None, None), (4, "e", 1, 1, "w " * 5000, None, None, None, None, None, None)]
     assert scans.noise(spark.createDataFrame(odd, S.LINES), spark.createDataFrame([], S.WORDLIST)).count() == 0
