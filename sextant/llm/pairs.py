@@ -11,17 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.lookalikes import INVISIBLE
-from sextant.runtime import latest, materialise
+from sextant.runtime import broadcast_below, latest, materialise
 
 DEFECTS = ["empty", "refusal", "copies_question", "other_language", "truncated"]
-#: Posterior a defect must exceed.
-CUTOFF = {"empty": 0.5, "refusal": 0.5, "copies_question": 0.5, "other_language": 0.5, "truncated": 0.5}
+#: Posterior a defect must exceed; the best cutoffs on 1,500 made pairs (``validation``), checked on 1,500 others.
+CUTOFF = {"empty": 0.2, "refusal": 0.25, "copies_question": 0.1, "other_language": 0.5, "truncated": 0.25}
 VOTES = {"empty": 3, "refusal": 4, "copies_question": 3, "other_language": 3, "truncated": 4}
 WORDLIST_LIMIT = 50_000
+#: Mean letters a word below which a short answer talks rather than states.
+SHORT_WORDS = 4.6
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TOKEN = re.compile(r"\w+")
 _NONE = re.compile("[" + re.escape(INVISIBLE) + r"\W_]+")
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]*\"")
+#: A word of an answer and whether a phrase ends behind it; the last word of an answer.
+_WORD_END = re.compile(r"([^\W_]+(?:['’-][^\W_]*)*)([.,;:!?)”»*]|[ \t]*\n)?")
+_LAST_WORD = re.compile(r"([^\W_]+(?:['’-][^\W_]*)*)[\s*]*$")
 _END = re.compile(r"[.!?…。](?:[\"'”’»)\]*_]|\s)*$|[)\]”»]\s*$")
 _ITEM = re.compile(r"^\s*(?:[-*+•–▪◦·]|\(?\w{1,3}[.)]|\[[ xX]?\])(?:\s+|$)")
 #: Answers that stand for none.
@@ -81,10 +86,10 @@ def _votes(answer: str | None, user: str, stop: str | None, last_seen: float | N
     toks = _TOKEN.findall(a.lower())
     q = question_of(user)
     sents = _sentences(a)
-    # refusal: sentences that decline or are polite, against those with substance
+    # refusal: sentences that decline or are polite, against those with substance; the short words of talk; the first person
     declines = [bool(_DECLINE.search(s) and (_SPEAKER.search(s) or len(sents) <= 2)) for s in sents]
     substance = [s for s, d in zip(sents, declines) if not d and not _POLITE.search(s) and len(_TOKEN.findall(s)) > 5]
-    refusal = [int(any(declines) and not substance), int(any(declines) and len(toks) < 40) if any(declines) or len(toks) > 40 else -1, 1 if stop == "refusal" else -1, int(bool(_FIRST.search(a))) if len(toks) < 45 else 0]
+    refusal = [int(any(declines) and not substance), int(len(toks) < 45 and sum(map(len, toks)) <= SHORT_WORDS * len(toks)), 1 if stop == "refusal" else -1, int(bool(_FIRST.search(a))) if len(toks) < 45 else 0]
     # copy of the question or of the whole request
     qt, ut = _TOKEN.findall(q.lower()), _TOKEN.findall(user.lower())
     once = _TOKEN.findall(" ".join(dict.fromkeys(x.strip() for x in a.lower().split("\n"))))  # a line said twice counts once
@@ -172,20 +177,24 @@ def joined_pairs(answers: DataFrame, requests: DataFrame) -> DataFrame:
 
     The answer is the concatenation of its content texts; null where there is no response, message or content.
     """
+    n = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = answers.select(
         "custom_id", F.col("response.message.stop_reason").alias("stop_reason"), "collected_at",
         F.array_join(F.transform(F.col("response.message.content"), lambda c: F.coalesce(c["text"], F.lit(""))), "").alias("answer"),
     )
     r = requests.select("custom_id", F.coalesce("user_text", F.lit("")).alias("user_text"), "created_at")
+    # one exchange a side, by number, so that what reads the pairs has as many tasks; newest and join use it
+    a, r = a.repartition(n, "custom_id"), r.repartition(n, "custom_id")
     return latest(a, "custom_id", ["collected_at", "answer"]).join(latest(r, "custom_id", ["created_at", "user_text"]), "custom_id")
 
 
 def _word_ends(pairs: DataFrame) -> DataFrame:
     """(word, seen, share_end): how often each word of all answers occurs, and how often a phrase ends with it."""
-    flat = pairs.select(F.lower("answer").alias("t")).filter("t IS NOT NULL")
-    rx = r"([\p{L}\p{N}'\x{2019}-]+)([.,;:!?)\x{201d}\x{bb}*]|[ \t]*\n|(?=$))?"
-    both = flat.select(F.explode(F.arrays_zip(F.regexp_extract_all("t", F.lit(rx), 1).alias("w"), F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}'\x{2019}-]+([.,;:!?)\x{201d}\x{bb}*]|[ \t]*\n)?"), 1).alias("e"))).alias("x"))
-    return both.groupBy(F.col("x.w").alias("word")).agg(F.count("*").alias("seen"), F.avg((F.col("x.e") != "").cast("double")).alias("share_end"))
+    word = r"[\p{L}\p{N}'\x{2019}-]+"
+    found = F.regexp_extract_all(F.lower("answer"), F.lit(rf"({word}(?:[.,;:!?)\x{{201d}}\x{{bb}}*]|[ \t]*\n)?)"), 1)
+    each = pairs.select(F.explode(found).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    bare = F.regexp_extract("x", f"^{word}", 0)
+    return each.groupBy(bare.alias("word")).agg(F.sum("n").alias("seen"), (F.sum(F.when(F.col("x") != bare, F.col("n")).otherwise(0)) / F.sum("n")).alias("share_end"))
 
 
 def voted(answers: DataFrame, requests: DataFrame, wordlist: DataFrame) -> DataFrame:
@@ -203,9 +212,13 @@ def voted(answers: DataFrame, requests: DataFrame, wordlist: DataFrame) -> DataF
     shared = spark.sparkContext.broadcast(words)
     pairs = materialise(joined_pairs(answers, requests))
     tail = F.regexp_extract(F.lower("answer"), r"([\p{L}\p{N}'\x{2019}-]+)[\s*]*$", 1)
-    ends = _word_ends(pairs)
     wanted = pairs.select("*", tail.alias("word"))
-    full = wanted.join(ends.join(wanted.filter("word <> ''").select("word").distinct(), "word", "left_semi"), "word", "left")
+    # the few words answers end with, and what all answers tell of them
+    ends = materialise(_word_ends(pairs).join(wanted.filter("word <> ''").select("word").distinct(), "word", "left_semi"))
+    small = broadcast_below(ends, 32 << 20)
+    full = wanted.join(small, "word", "left")
+    if small is ends:  # joined by the last word: spread anew, so that a hot word is not one task of Python
+        full = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "custom_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
