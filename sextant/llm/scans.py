@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sextant.runtime import latest, materialise, running_total
+from sextant.runtime import broadcast_below, latest, materialise, running_total
 
 #: What recognition prints for what stood there.
 CONFUSIONS = [
@@ -131,7 +131,7 @@ def headings(placed: DataFrame) -> DataFrame:
 
 def without_furniture(lines: DataFrame) -> DataFrame:
     """(line_id, doc_id, page, line_no, text, heading, number, body): only lines at page edges pass through Python."""
-    placed = inventory(lines)
+    placed = materialise(inventory(lines))
     edge = (F.col("pos") <= 2) | (F.col("pos") == F.col("n_on_page"))
     first = placed.groupBy("doc_id").agg(F.min("line_id").alias("first_line"))
     at_edge = placed.filter(edge).join(headings(placed), "doc_id").join(first, "doc_id").select("line_id", "doc_id", "page", "line_no", "text", "heads", "title", (F.col("line_id") == F.col("first_line")).alias("is_title"))
@@ -158,22 +158,28 @@ def _clean(token: Column) -> Column:
 
 
 def next_bodies(clean: DataFrame) -> DataFrame:
-    """Lines with running text and, for each, the following one's body on its page or, at its end, on the next page.
+    """Lines with running text and, for each, the following one's body on its page or, at its end, on the next page that has any.
 
-    Windows span one page; page ends meet page starts by a join, so no document is gathered.
+    Windows span one page; pages are numbered along their document by a range sort and meet by a join, so no document is
+    gathered. Lines without a page are followed by none.
     """
     body = clean.filter(F.trim("body") != "")
     w = W.partitionBy("doc_id", "page").orderBy("line_id")
     inside = body.select("*", F.lead("body").over(w).alias("_next"), F.lead("line_id").over(w).alias("_next_id"))
-    starts = body.groupBy("doc_id", "page").agg(F.min_by(F.struct("line_id", "body"), "line_id").alias("f"))
-    following = starts.select(F.col("doc_id").alias("_d"), (F.col("page") - 1).alias("_p"), F.col("f.line_id").alias("_fid"), F.col("f.body").alias("_fbody"))
-    return inside.join(following, F.col("_next_id").isNull() & (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")), "left").select(
-        *body.columns, F.coalesce("_next_id", "_fid").alias("next_id"), F.coalesce("_next", "_fbody").alias("next_body")
+    starts = body.filter("page IS NOT NULL").groupBy("doc_id", "page").agg(F.min("line_id").alias("_fid"), F.min_by("body", "line_id").alias("_fbody"))
+    numbered = materialise(running_total(starts, ["doc_id"], [F.col("_fid")], F.lit(1), "_no"))
+    after = numbered.select("doc_id", (F.col("_no") - 1).alias("_no"), "_fid", "_fbody")
+    following = numbered.select("doc_id", "page", "_no").join(after, ["doc_id", "_no"]).drop("_no")
+    return inside.join(following, ["doc_id", "page"], "left").select(
+        *body.columns, F.when(F.col("_next_id").isNull(), F.col("_fid")).otherwise(F.col("_next_id")).alias("next_id"), F.when(F.col("_next_id").isNull(), F.col("_fbody")).otherwise(F.col("_next")).alias("next_body")
     )
 
 
 def word_counts(bodies: DataFrame, wordlist: DataFrame) -> DataFrame:
-    """(word, n, listed): how often each word stands inside a line, and whether the list has it; hyphenated words and their parts count."""
+    """(word, n, listed): how often each word stands inside a line, and whether the list has it; hyphenated words and their parts count.
+
+    The first and last word of a line are no evidence, since they may be halves.
+    """
     toks = bodies.select(F.slice(F.split(F.trim("body"), r"\s+"), 2, F.greatest(F.size(F.split(F.trim("body"), r"\s+")) - 2, F.lit(0))).alias("t"))
     w = toks.select(F.explode("t").alias("t")).select(_clean(F.col("t")).alias("w"))
     parts = w.filter(F.col("w").contains("-")).select(F.explode(F.split("w", "-")).alias("w"))
@@ -268,32 +274,50 @@ def vocabulary_keys(word: str) -> list[str]:
 
 
 def query_keys(word: str) -> list[str]:
-    """Keys of every piece a vocabulary word within EDITS edits of ``word`` could share with it."""
+    """Keys of the pieces one of which every vocabulary word within EDITS edits of ``word`` shares with it.
+
+    The edits before and behind a shared piece bound how far it may have moved: of the pieces in order one has at most as
+    many edits before it as pieces, and the rest behind it, so few places are asked for, and none is missed.
+    """
     out = set()
     for n in range(max(1, len(word) - EDITS), len(word) + EDITS + 1):
+        longer = len(word) - n
         for i, (a, b) in enumerate(_spans(n)):
-            for shift in range(-EDITS, EDITS + 1):
+            behind = EDITS - i
+            low, high = max(-i, longer - behind), min(i, longer + behind)
+            for shift in range(low, high + 1):
                 if 0 <= a + shift and b + shift <= len(word):
                     out.add(f"{n}/{i}/{word[a + shift:b + shift]}")
     return sorted(out)
 
 
-def corrections(counts: DataFrame) -> DataFrame:
-    """(seen, meant, distance, n_meant): complete candidates within EDITS edits that known confusions explain.
+#: Words asked for under one key in one place; keys with more are spread over several.
+ASKED_MOST = 20_000
+
+
+def corrections(counts: DataFrame, seen: DataFrame) -> DataFrame:
+    """(seen, meant, distance, n_meant, explained): all candidates within EDITS edits for the words ``seen`` (word, n).
 
     Words and vocabulary meet by the pieces an edit cannot touch, in hash buckets; each key of a bucket has its own
-    trie, so no vocabulary is broadcast and none needs to fit into one task.
+    trie, so no vocabulary is broadcast and none needs to fit into one task. A key many words ask for is spread over as
+    many places, each with the key's vocabulary. ``explained`` tells whether known confusions alone turn one word into
+    the other. Words of letters only that they do not explain are words of their own; so are those of the list.
     """
     n_buckets = 4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vocab = counts.filter((F.col("n") >= LEAST) & F.col("word").rlike(r"^\p{L}{3,}$")).select("word", "n", "listed")
-    asked = counts.filter(~F.col("listed") & (F.col("n") > 0) & F.col("word").rlike(r"\p{L}") & ~F.col("word").contains("-") & (F.length("word").between(3, 40))).select("word", "n")
+    vocab = counts.filter((F.col("n") >= LEAST) & F.col("word").rlike(r"^\p{L}{2,}$")).select("word", "n")
+    listed = counts.filter("listed").select("word")
+    letters = F.col("word").rlike(r"^\p{L}*$")
+    asked = seen.filter(F.col("word").rlike(r"\p{L}") & (F.length("word") >= F.when(letters, 3).otherwise(2))).join(listed, "word", "left_anti").select("word", "n")
 
     def keyed(df: DataFrame, keys) -> DataFrame:
         @F.pandas_udf("array<string>")
         def udf(s: pd.Series) -> pd.Series:
             return s.map(keys)
 
-        return df.withColumn("key", F.explode(udf("word"))).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets)))
+        return df.withColumn("key", F.explode(udf("word")))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("key", "salt"), F.lit(n_buckets)))
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = set()
@@ -302,15 +326,21 @@ def corrections(counts: DataFrame) -> DataFrame:
             if key not in by_key:
                 continue
             r = by_key[key]
-            size, trie = dict(zip(r["word"], zip(r["n"], r["listed"]))), trie_of(list(r["word"]))
+            size, trie = dict(zip(r["word"], r["n"])), trie_of(list(r["word"]))
             for w, n in zip(g["word"], g["n"]):
                 for v, d in within(trie, w):
-                    m, listed = size[v]
-                    if d and m >= RATIO * n and explains(w, v):
-                        rows.add((w, v, d, int(m)))
-        return pd.DataFrame(sorted(rows), columns=["seen", "meant", "distance", "n_meant"])
-
-    out = keyed(asked, query_keys).groupBy("bucket").cogroup(keyed(vocab, vocabulary_keys).groupBy("bucket")).applyInPandas(match, "seen string, meant string, distance int, n_meant long")
+                    if d and size[v] >= RATIO * n and (len(v) > 2 or not w.isalpha()):
+                        known = explains(w, v)
+                        if known or not w.isalpha():
+                            rows.add((w, v, d, int(size[v]), known))
+        return pd.DataFrame(sorted(rows), columns=["seen", "meant", "distance", "n_meant", "explained"])
+
+    ask = materialise(keyed(asked, query_keys))
+    hot = ask.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > ASKED_MOST).select("key", F.ceil(F.col("k") / ASKED_MOST).cast("int").alias("places"))
+    hot = broadcast_below(materialise(hot), 16 << 20)
+    left = ask.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("word"), F.coalesce("places", F.lit(1)))).drop("places")
+    right = keyed(vocab, vocabulary_keys).join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("places", F.lit(1)).cast("long") - 1))).drop("places")
+    out = placed(left).groupBy("bucket").cogroup(placed(right).groupBy("bucket")).applyInPandas(match, "seen string, meant string, distance int, n_meant long, explained boolean")
     return out.distinct()
 
 
@@ -328,16 +358,19 @@ def read_words(bodies: DataFrame, broken: DataFrame) -> DataFrame:
 def misread_words(bodies: DataFrame, broken: DataFrame, counts: DataFrame) -> DataFrame:
     """(line_id, at, part, word, meant): misread words with the reading that fits best.
 
-    Candidates are ranked by edits, then by how often they follow the word before, then by frequency, then by letters.
+    Every word of running text is asked for, wherever in its line it stands. Candidates are ranked by whether known
+    confusions explain them, by edits, by how often they follow the word before, by frequency, then by letters. Very short
+    words, and words with a digit or sign no confusion explains, have to follow the word before somewhere else.
     """
-    fixes = materialise(corrections(counts))
     words = read_words(bodies, broken)
-    hit = words.join(fixes, words["word"] == fixes["seen"])
-    asked = hit.select(F.col("before").alias("b"), F.col("meant").alias("m")).distinct()
+    fixes = materialise(corrections(counts, words.groupBy("word").agg(F.count("*").alias("n"))))
+    hit = materialise(words.join(fixes, words["word"] == fixes["seen"]))
+    asked = broadcast_below(materialise(hit.select(F.col("before").alias("b"), F.col("meant").alias("m")).distinct()), 64 << 20)
     pairs = words.select("before", "word").join(asked, (F.col("before") == F.col("b")) & (F.col("word") == F.col("m"))).groupBy("b", "m").agg(F.count("*").alias("together"))
-    ranked = hit.join(pairs, (F.col("before") == F.col("b")) & (F.col("meant") == F.col("m")), "left")
-    order = F.struct(F.col("distance"), -F.coalesce("together", F.lit(0)), -F.col("n_meant"), F.col("meant"))
-    return ranked.groupBy("line_id", "at", "part", "word").agg(F.min_by("meant", order).alias("meant"))
+    ranked = hit.join(pairs, (F.col("before") == F.col("b")) & (F.col("meant") == F.col("m")), "left").withColumn("together", F.coalesce("together", F.lit(0)))
+    sure = (F.col("explained") & (F.length("meant") > 2)) | (F.col("together") > 0)
+    order = F.struct(~F.col("explained"), F.col("distance"), -F.col("together"), -F.col("n_meant"), F.col("meant"))
+    return ranked.filter(sure).groupBy("line_id", "at", "part", "word").agg(F.min_by("meant", order).alias("meant"))
 
 
 def repaired(lines: DataFrame, wordlist: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
