@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -9,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.words import token_count
-from sextant.runtime import latest, running_total
+from sextant.llm.words import newest, token_count
+from sextant.runtime import running_total
 
 MAX_TOKENS = 400
 OVERLAP = 40
@@ -29,45 +30,68 @@ def _strength(token: str, gap: str) -> int:
     return 2 if token[-1] in ";:" else 1 if token[-1] == "," else 0
 
 
+def _least_weak(natural: list[int], n: int, room: int, limit: int) -> int:
+    """Cuts off every natural boundary that any placement needs: those inside stretches longer than a piece's own tokens."""
+    weak, at = 0, 0
+    for b in [*natural, n]:
+        weak += max(0, -(-(b - at) // (limit if at == 0 else room)) - 1)
+        at = b
+    return weak
+
+
 def cut_points(strength: list[int], limit: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[int]:
     """Token numbers where the new material of each piece ends; the last is the number of tokens.
 
     ``strength[i]`` belongs to a cut after token ``i``. A piece holds the last ``overlap`` tokens of the one
     before it and its own new tokens, ``limit`` at most. The fewest pieces come first, with targets of equal
-    length; each target moves to the strongest boundary near it (the nearest on ties). Where the limit leaves
-    no boundary within reach and one more piece would, a piece is added, at most as many as there are pieces.
+    length; each target moves to the strongest boundary near it (the nearest on ties, the earlier one then). Where
+    that leaves more cuts off natural boundaries than any placement needs, pieces are added, 1, 2, 4, ... more, at most
+    as many as there are, and the placement with the fewest such cuts is taken, of the fewest pieces.
     """
     n = len(strength)
     if n <= limit:
         return [n]
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than the limit")
-    least = 1 + -(-(n - limit) // (limit - overlap))
+    room = limit - overlap
+    least = 1 + -(-(n - limit) // room)
+    places: dict[int, list[int]] = {}  # strength -> cuts of it, rising
+    for i in range(n - 1):
+        if strength[i]:
+            places.setdefault(strength[i], []).append(i + 1)
+    levels = [places[k] for k in sorted(places, reverse=True)]
+    needed = _least_weak([i + 1 for i in range(n - 1) if strength[i]], n, room, limit)
+
+    def nearest(a: int, b: int, target: int) -> int | None:
+        for level in levels:
+            k = bisect.bisect_left(level, target)
+            near = [c for c in level[max(0, k - 1) : k + 1] if a <= c <= b]
+            if near:
+                return min(near, key=lambda c: (abs(c - target), c))
+        return None
+
     best: tuple[int, list[int]] | None = None
-    for pieces in range(least, 2 * least + 2):
+    for more in [0, *(1 << k for k in range(least.bit_length()))]:
+        pieces = least + more
         cuts, weak, start = [], 0, 0
         own = (n + (pieces - 1) * overlap) / pieces  # equal whole lengths, overlap included
         for i in range(1, pieces):
-            room = limit if start == 0 else limit - overlap
-            target = round(i * own - (i - 1) * overlap)
             rest = pieces - i  # those after this one must be able to hold what remains
-            low = max(start + 1, n - rest * (limit - overlap))
-            high = min(start + room, n - 1)
+            low = max(start + 1, n - rest * room)
+            high = min(start + (limit if start == 0 else room), n - 1)
             if low > high:
                 break
-            target = min(max(target, low), high)
+            target = min(max(round(i * own - (i - 1) * overlap), low), high)
             reach = max(8, int(own) // 4)
-            a, b = max(low, target - reach), min(high, target + reach)
-            at = max(range(a, b + 1), key=lambda c: (strength[c - 1], -abs(c - target), -c))
-            weak += strength[at - 1] == 0
-            cuts.append(at)
-            start = at
+            at = nearest(max(low, target - reach), min(high, target + reach), target)
+            weak += at is None
+            start = target if at is None else at
+            cuts.append(start)
         else:
-            if n - start <= limit - overlap:
-                if weak == 0:
-                    return [*cuts, n]
-                if best is None or weak < best[0]:
-                    best = (weak, [*cuts, n])
+            if n - start <= room and (best is None or weak < best[0]):
+                best = (weak, [*cuts, n])
+        if best and best[0] <= needed:
+            break
     return best[1]  # the fewest pieces always fit, so there is one
 
 
@@ -93,7 +117,7 @@ def split_oversized(chunks: DataFrame, limit: int = MAX_TOKENS, overlap: int = O
     chunk's text). Only oversized texts pass through Python. Chunks delivered twice count once (the latest);
     a null or empty text is one piece of 0 tokens; null ids are dropped; extra columns are ignored.
     """
-    one = latest(chunks.select("chunk_id", "parent_id", "seq", "text", "ingested_at"), "chunk_id", ["ingested_at", "text"])
+    one = newest(chunks, "parent_id", "seq", "text")
     counted = one.withColumn("n", token_count(F.col("text")))
     small = counted.filter(F.col("n") <= limit).select(
         "chunk_id", "parent_id", "seq", F.lit(1).alias("piece"), F.lit(1).alias("n_pieces"), "text",
