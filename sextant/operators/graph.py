@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.runtime import materialise
+from sextant.runtime import discard, materialise
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -24,7 +24,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(down, "b").select("a", "b", "m")
         new = materialise(small.select(F.col("m").alias("a"), F.col("b")).unionByName(small.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
         if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
+            discard(e)
             return new.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
+        discard(e)
         e = new
     raise RuntimeError(f"components did not settle within {rounds} rounds")
 
@@ -35,10 +37,13 @@ def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
     seen = materialise(seeds.select("node").dropna().distinct().withColumn("depth", F.lit(0)))
     front = seen
     for k in range(1, rounds + 1):
-        front = materialise(front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(k)))
-        if front.isEmpty():
+        new = materialise(front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(k)))
+        if new.isEmpty():
             return seen
-        seen = materialise(seen.unionByName(front))
+        both_seen = materialise(seen.unionByName(new))
+        for old in {id(x): x for x in (seen, front)}.values():
+            discard(old)
+        seen, front = both_seen, new
     raise RuntimeError(f"closure did not settle within {rounds} rounds")
 
 

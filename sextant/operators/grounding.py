@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
+from sextant.runtime import latest
 
 #: Printed kinds of reference and the prefix of the unit they mean.
 KINDS = [("Article", "art", r"\d+"), ("Annex", "anx", r"\d+"), ("Recital", "rct", r"\d+"), ("Section", "sec", r"\d+\.\d+"), ("Action", "act", r"[A-Z]{2}-?\d+\.\d+-+\d{3}")]
@@ -66,30 +69,28 @@ def augmented(requests: DataFrame, units: DataFrame) -> DataFrame:
     return blocks.unionByName(more.select("custom_id", (F.col("n") + F.row_number().over(w) - 1).alias("pos"), "unit", F.lit("fetched").alias("origin")))
 
 
-def window_score(unit: list[str], block: list[str]) -> float:
-    """Best share of the unit's tokens, as a multiset, inside any window of its length; 0 for a shorter block or an empty unit."""
-    n = len(unit)
-    if not n or len(block) < n:
+def window_score(unit: list, block: list) -> float:
+    """Best share of the unit's tokens, as a multiset, inside any window of its length; 0 for a shorter block or an empty unit.
+
+    Each token of the block that the unit has counts for an interval of window starts: those that reach it and hold fewer
+    of its kind before it than the unit needs. The best window is where most intervals lie over one another.
+    """
+    n, last = len(unit), len(block) - len(unit)
+    if not n or last < 0:
         return 0.0
-    need: dict[str, int] = {}
-    for t in unit:
-        need[t] = need.get(t, 0) + 1
-    have: dict[str, int] = {}
-    best = hit = 0
+    need, places = Counter(unit), {}
+    edges = [0] * (last + 2)
     for i, t in enumerate(block):
-        if t in need:
-            have[t] = have.get(t, 0) + 1
-            hit += have[t] <= need[t]
-        if i >= n:
-            old = block[i - n]
-            if old in need:
-                hit -= have[old] <= need[old]
-                have[old] -= 1
-        if i >= n - 1 and hit > best:
-            best = hit
-            if best == n:
-                break
-    return best / n
+        k = need.get(t)
+        if k is None:
+            continue
+        mine = places.setdefault(t, [])
+        low = max(0, i - n + 1, mine[-k] + 1 if len(mine) >= k else 0)
+        mine.append(i)
+        if low <= min(i, last):
+            edges[low] += 1
+            edges[min(i, last) + 1] -= 1
+    return max(accumulate(edges)) / n
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -116,15 +117,25 @@ def threshold(n: Column) -> Column:
     return F.when(n < 4, 1.0).otherwise(0.75)
 
 
+def newest_requests(requests: DataFrame) -> DataFrame:
+    """One row per request, the latest; of one time the one with the greatest text."""
+    return latest(requests, "custom_id", ["created_at", "user_text"])
+
+
+def newest_answers(answers: DataFrame) -> DataFrame:
+    """One row per answer, the latest; of one time the one with the greatest digest."""
+    return latest(answers, "custom_id", ["collected_at", "body_sha256"])
+
+
 def unit_verdicts(answers: DataFrame, requests: DataFrame) -> DataFrame:
     """(custom_id, pos, unit, n_tokens, n_surfaces, overlap_max, score, grounded) per claim unit of an answer.
 
     A block counts for ``score`` only if it prints every reference the unit prints; ``overlap_max`` takes all blocks.
-    Units without an admitted block score 0. Second deliveries of an answer or request count once.
+    Units without an admitted block score 0. Of second deliveries of an answer or request the latest counts.
     """
-    a = answers.select("custom_id", T.answer_text(F.col("response")).alias("a")).filter("a IS NOT NULL").dropDuplicates(["custom_id"])
+    a = newest_answers(answers).select("custom_id", T.answer_text(F.col("response")).alias("a")).filter("a IS NOT NULL")
     u = a.select("custom_id", F.posexplode(T.claim_units(F.col("a"))).alias("pos", "unit")).select("custom_id", "pos", "unit", T.primary_tokens(F.col("unit")).alias("unit_tokens"), surfaces(F.col("unit")).alias("us"))
-    b = context_blocks(requests.dropDuplicates(["custom_id"])).select("custom_id", T.primary_tokens(F.col("block")).alias("block_tokens"), surfaces(F.col("block")).alias("bs"))
+    b = context_blocks(newest_requests(requests)).select("custom_id", T.primary_tokens(F.col("block")).alias("block_tokens"), surfaces(F.col("block")).alias("bs"))
     s = scored(u.join(b, "custom_id")).withColumn("admitted", F.size(F.array_except("us", "bs")) == 0)
     best = s.groupBy("custom_id", "pos").agg(F.max("score").alias("overlap_max"), F.max(F.when(F.col("admitted"), F.col("score"))).alias("score"))
     full = u.join(best, ["custom_id", "pos"], "left").select("custom_id", "pos", "unit", F.size("unit_tokens").alias("n_tokens"), F.size("us").alias("n_surfaces"), F.coalesce("overlap_max", F.lit(0.0)).alias("overlap_max"), F.coalesce("score", F.lit(0.0)).alias("score"))

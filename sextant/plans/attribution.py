@@ -8,13 +8,12 @@ from sextant.functions import text as T
 from sextant.operators import attribution as A
 from sextant.operators import grounding as G
 from sextant.plans import grounding as P
-from sextant.plans.common import chunks
-from sextant.sources.tables import table
+from sextant.plans.common import chunks, items
 
 
 def lexical_attribution(spark, d):
     """Each segment of an item's passage (span_id ``item#number``) against the segments of all chunks outside its expected units."""
-    i = table(spark, d, "eval_queries").dropDuplicates(["item_id"])
+    i = items(spark, d)
     spans = i.select("item_id", "expected_units", F.posexplode(T.segments(F.col("passage"))).alias("k", "span")).withColumn("span_id", F.concat_ws("#", "item_id", "k"))
     seg = chunks(spark, d, "text").filter("text IS NOT NULL").select(T.unit_of(F.col("chunk_id")).alias("unit"), F.posexplode(T.segments(F.col("text"))).alias("seg_no", "segment"))
     return A.lexical_attribution(spans.select("span_id", "span"), seg, spans.select("span_id", F.explode("expected_units").alias("unit")))
@@ -60,6 +59,6 @@ QUERIES = {f.__name__: f for f in (lexical_attribution, adversarial_verdicts, ra
 SQL = {
     "adversarial_verdicts": f"{_V} SELECT custom_id, verdict FROM ad",
     "rates_table": f"{P._U}, t AS (SELECT condition, tier, {P._BL} FROM gr GROUP BY ROLLUP (condition, tier)) SELECT condition, tier, coalesce(regexp_replace(printf('%.6f', rate), '\\.?0+$', ''), '') AS rate FROM t",
-    "decomposition": f"{P._U}, dx AS (SELECT query_set, TRY_CAST(split_part(query_id, '_', -1) AS BIGINT) % 50 k, sum(CASE WHEN condition = 'raw' THEN bad ELSE 0 END) a, sum(CASE WHEN condition = 'second_call' THEN bad ELSE 0 END) b FROM gr GROUP BY ALL) SELECT query_set, count(*) AS n, count(*) FILTER (a > b) AS fewer, CAST(sum(b - a) AS BIGINT) AS delta FROM dx GROUP BY query_set",
+    "decomposition": f"{P._U}, dx AS (SELECT query_set, tier, query_id, count(DISTINCT condition) sides, sum(n_units) FILTER (condition = 'raw') ru, sum(bad) FILTER (condition = 'raw') rb, sum(n_units) FILTER (condition = 'second_call') su, sum(bad) FILTER (condition = 'second_call') sb FROM gr WHERE query_id IS NOT NULL AND condition IN ('raw', 'second_call') GROUP BY ALL), dy AS (SELECT *, su - sb > 0 kept FROM dx WHERE sides = 2 AND ru > 0) SELECT query_set, tier, count(*) AS n, count(*) FILTER (rb > sb) AS fewer, CAST(sum(sb - rb) AS BIGINT) AS delta, count(*) FILTER (NOT kept) AS abstained, CAST(coalesce(sum(rb) FILTER (NOT kept), 0) AS BIGINT) AS abstained_ungrounded, CAST(coalesce(sum(ru) FILTER (NOT kept), 0) AS BIGINT) AS abstained_units, CAST(coalesce(sum(rb - sb) FILTER (kept), 0) AS BIGINT) AS ungrounded_removed, CAST(coalesce(sum(su - sb - ru + rb) FILTER (kept), 0) AS BIGINT) AS grounded_added, CAST(coalesce(sum(su - ru) FILTER (kept), 0) AS BIGINT) AS units_added FROM dy GROUP BY query_set, tier",
     "surface_tokens": f"{P._B} SELECT CAST(len({P._S}) AS INT) AS n_surfaces, count(*) AS n_blocks FROM b GROUP BY 1",
 }

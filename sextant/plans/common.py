@@ -15,9 +15,15 @@ def chunks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "units").dropDuplicates(["unit_id"])
+    return latest(table(spark, d, "units"), "unit_id", ["added_at", "deleted_at"])
 
 
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """One row per evaluation item; equal ids take the greatest name and query."""
+    return latest(table(spark, d, "eval_queries"), "item_id", ["id", "query"])
+
+
+ITEMS = "i AS (SELECT * FROM eval_queries WHERE item_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY id DESC NULLS LAST, query DESC NULLS LAST) = 1)"
 C = "c AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, text DESC NULLS LAST) = 1)"
 NORM = "trim(regexp_replace(translate({0}, '‘’“”–—' || chr(160), chr(39) || chr(39) || chr(34) || chr(34) || '-- '), '\\s+', ' ', 'g'))"
 TOKENS = "regexp_extract_all(lower(" + NORM + "), '[a-z0-9]+(?:[._-][a-z0-9]+)*')"

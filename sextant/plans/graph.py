@@ -153,5 +153,5 @@ SQL = {
     "relation_dangling": f"{_E} SELECT b, count(*) AS n FROM rel WHERE b NOT IN (SELECT unit_id FROM units WHERE unit_id IS NOT NULL) GROUP BY b",
     "relation_positions": f"{_NG}, m AS (SELECT chunk_id, key FROM k WHERE key IN (SELECT key FROM g)) SELECT e.query AS pick, e.returned AS other, CASE WHEN a.key IS NULL THEN 'SILENT' WHEN a.key = b.key THEN 'INCLUDES' ELSE 'EXCLUDES' END AS position FROM (SELECT DISTINCT query, returned FROM near_duplicate_exceptions WHERE query IS NOT NULL AND returned IS NOT NULL) e LEFT JOIN m a ON a.chunk_id = e.query LEFT JOIN m b ON b.chunk_id = e.returned",
     "nominated": f"{_NG} SELECT representative, chunk_id AS nominee, split_part(chunk_id, ':', 1) <> split_part(representative, ':', 1) AS cross_document FROM k JOIN g USING (key) WHERE chunk_id <> representative",
-    "duplication_map": f"WITH {C}, t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) m, min(chunk_id) chunk_id FROM c WHERE text IS NOT NULL GROUP BY ALL) SELECT p.chunk_id AS source, h.chunk_id AS holder, p.m = h.m AS whole FROM t p JOIN t h ON p.doc_id <> h.doc_id AND contains(' ' || h.m || ' ', ' ' || p.m || ' ') WHERE len(string_split(p.m, ' ')) BETWEEN 8 AND 60",
+    "duplication_map": f"WITH {C}, t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) m, min(chunk_id) chunk_id FROM c WHERE text IS NOT NULL GROUP BY ALL) SELECT p.chunk_id AS source, h.chunk_id AS holder, p.m = h.m AS whole FROM t p JOIN t h ON p.doc_id <> h.doc_id AND contains(' ' || h.m || ' ', ' ' || p.m || ' ') WHERE len(string_split(p.m, ' ')) >= 8",
 }

@@ -7,17 +7,17 @@ from pyspark.sql import Window as W
 
 from sextant.functions import text as T
 from sextant.operators import grounding as G
-from sextant.plans.common import NORM, TOKENS
+from sextant.plans.common import NORM, TOKENS, items
 from sextant.runtime import materialise
 from sextant.sources.tables import table
 
 
 def _requests(spark, d):
-    return table(spark, d, "requests").filter("custom_id IS NOT NULL").dropDuplicates(["custom_id"])
+    return G.newest_requests(table(spark, d, "requests"))
 
 
 def _answers(spark, d):
-    return table(spark, d, "answers").filter("custom_id IS NOT NULL").dropDuplicates(["custom_id"])
+    return G.newest_answers(table(spark, d, "answers"))
 
 
 def references(spark, d):
@@ -56,7 +56,7 @@ def context_sizes(spark, d):
 def layer_recall(spark, d):
     """Expected units of the evaluation item behind a request that its context holds, before and after fetching."""
     q = _requests(spark, d).select("custom_id", F.regexp_extract("query_id", r"(\d+)$", 1).cast("long").alias("item_id"))
-    gold = table(spark, d, "eval_queries").dropDuplicates(["item_id"]).select("item_id", F.explode("expected_units").alias("unit"))
+    gold = items(spark, d).select("item_id", F.explode("expected_units").alias("unit"))
     need = q.join(gold, "item_id").select("custom_id", "unit").distinct()
     have = augmented_context(spark, d).groupBy("custom_id", "unit").agg(F.max((F.col("origin") == "first").cast("int")).alias("first"))
     j = need.join(have, ["custom_id", "unit"], "left")
@@ -185,7 +185,7 @@ def foreign_alignment(spark, d):
 
 QUERIES = {f.__name__: f for f in (references, context_blocks, resolved_units, absent_units, unresolved_references, augmented_context, context_sizes, layer_recall, window_scores, crosscheck_disagreements, answer_grading, flagged_units, rates_by_tier, rates_pooled, rates_by_stratum, comparable_set, fate_table, cost_latency, predictions, alignment_summary, alignment_histogram, alignment_gaps, foreign_alignment)}
 
-_B = r"""WITH r AS (SELECT * FROM requests WHERE custom_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY custom_id ORDER BY created_at) = 1),
+_B = r"""WITH r AS (SELECT * FROM requests WHERE custom_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY custom_id ORDER BY created_at DESC NULLS LAST, user_text DESC NULLS LAST) = 1),
 x AS (SELECT custom_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(user_text, '(?s)\n*Question:.*$', ''), '(?s)^\s*Extracts:\s*', ''), '\n\n\[', chr(1) || '[', 'g'), chr(1)), lambda b: regexp_matches(b, '^\[[^\]]+\]')) p FROM r),
 b AS (SELECT custom_id, CAST(i - 1 AS INT) pos, split_part(regexp_extract(p[i], '^\[([^\]]+)\]', 1), '#', 1) unit_id, p[i] block FROM (SELECT custom_id, p, unnest(range(1, len(p) + 1)) i FROM x))"""
 _S = "list_distinct(list_concat(" + ", ".join(f"list_transform(regexp_extract_all(regexp_replace(block, '\\b{k} {n}(\\([^)]*\\))*\\s*(\\([^)]*\\)\\s*)*of\\s+(the\\s+)?(Directive|Regulation|Norm|Bulletin|Charter|Convention|Treaty|Decision)', '', 'g'), '\\b{k} ({n})\\b', 1), lambda z: '{p}|' || z)" for k, p, n in G.KINDS) + ", list_transform(regexp_extract_all(block, '\\b([A-Z]{4,} \\d+\\.\\d+)\\b', 1), lambda z: 'sub|' || replace(z, ' ', '_'))))"
@@ -208,7 +208,7 @@ _ITEM = T.LIST_MARKER
 _ABBR = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
 _FLAT = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _US = _S.replace("(block", "(unit")
-_U = _B + rf""", an AS (SELECT custom_id, array_to_string(list_transform(list_filter(response.message.content, lambda b: b.type = 'text'), lambda b: coalesce(b.text, '')), '') a, response, collected_at FROM answers WHERE custom_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY custom_id ORDER BY collected_at) = 1),
+_U = _B + rf""", an AS (SELECT custom_id, array_to_string(list_transform(list_filter(response.message.content, lambda b: b.type = 'text'), lambda b: coalesce(b.text, '')), '') a, response, collected_at FROM answers WHERE custom_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY custom_id ORDER BY collected_at DESC NULLS LAST, body_sha256 DESC NULLS LAST) = 1),
 ln AS (SELECT custom_id, list_filter(list_transform(string_split(array_to_string(list_transform(string_split(a, chr(10)), lambda l: CASE WHEN trim(l) = '' THEN chr(2) WHEN regexp_matches(l, '{_ITEM}') THEN chr(2) || chr(3) || trim(regexp_replace(l, '{_ITEM}', '')) || chr(2) ELSE trim(l) || ' ' END), ''), chr(2)), lambda r: trim(r)), lambda r: r <> '') runs FROM an WHERE a IS NOT NULL),
 un AS (SELECT custom_id, list_filter(flatten(list_transform(runs, lambda r: CASE WHEN r[1] = chr(3) THEN [r[2:]] ELSE
    list_filter(list_transform(string_split(regexp_replace(regexp_replace(r, '(?i)(^|[^A-Za-z.])({_ABBR})\.(\s|$)', '\1\2' || chr(1) || '\3', 'g'), '([.?!])\s+', '\1' || chr(4), 'g'), chr(4)), lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '') END)),

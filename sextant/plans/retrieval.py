@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators import retrieval as R
-from sextant.plans.common import C, DOC_TOKENS, TOKENS, chunks
-from sextant.runtime import materialise
+from sextant.plans.common import C, DOC_TOKENS, ITEMS, TOKENS, chunks, items
+from sextant.runtime import latest, materialise
 from sextant.sources.tables import table
 
 
@@ -20,8 +20,7 @@ def _n(docs):
 
 
 def _query_terms(spark, d):
-    q = table(spark, d, "eval_queries").filter("item_id IS NOT NULL").dropDuplicates(["item_id"])
-    return q.select(F.col("item_id").alias("query"), F.explode(T.primary_tokens(F.col("query"))).alias("term"))
+    return items(spark, d).select(F.col("item_id").alias("query"), F.explode(T.primary_tokens(F.col("query"))).alias("term"))
 
 
 def bm25_term_stats(spark, d):
@@ -50,7 +49,7 @@ def bm25_top10(spark, d):
 
 
 def _vectors(spark, d):
-    return table(spark, d, "embeddings").dropDuplicates(["vec_id"])
+    return latest(table(spark, d, "embeddings"), "vec_id", ["label", "embedding"])
 
 
 def dense_top10(spark, d):
@@ -81,7 +80,7 @@ def _ranking(spark, d):
 
 
 def _items(spark, d):
-    return table(spark, d, "eval_queries").filter("item_id IS NOT NULL").dropDuplicates(["item_id"])
+    return items(spark, d)
 
 
 def gold_slot_hits(spark, d):
@@ -132,7 +131,7 @@ _BASE = f"""WITH {C}, n AS (SELECT count(*) n FROM c),
 dl AS (SELECT chunk_id doc, coalesce(len({TOKENS.format('text')}), 0) dl FROM c), av AS (SELECT sum(dl) / count(*) av FROM dl),
 p AS (SELECT doc, term, count(*) tf FROM (SELECT chunk_id doc, unnest({DOC_TOKENS.format('text')}) term FROM c WHERE text IS NOT NULL) GROUP BY ALL),
 st AS (SELECT term, count(*) df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) idf_nonneg, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) idf_plain FROM p, n GROUP BY term),
-i AS (SELECT * FROM eval_queries WHERE item_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY id) = 1)"""
+{ITEMS}"""
 _Q = f"SELECT item_id query, unnest({TOKENS.format('query')}) term FROM i"
 
 
@@ -150,7 +149,7 @@ _M = _R + """, g AS (SELECT query, avg(CASE WHEN first_rank IS NULL THEN 0.0 ELS
 mt AS (SELECT query, count(*) / 10 p FROM ru WHERE (query, unit) IN (SELECT query, unit FROM sl) GROUP BY query),
 m AS (SELECT i.item_id, i.type, CASE WHEN n > 0 THEN round_even(coalesce(p, 0), 6) END precision_at_10, round_even(recall, 6) recall_at_10, round_even(mrr, 6) mrr,
   round_even(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda k: 1.0 / log2(k + 1))), 6) ndcg_at_10 FROM i LEFT JOIN g ON g.query = i.item_id LEFT JOIN mt ON mt.query = i.item_id)"""
-_V = "WITH v AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id) = 1), s AS (SELECT q.vec_id query, v.vec_id doc, v.label, round_even(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), lambda a, b: a + b), 4) score FROM v, v q WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)"
+_V = "WITH v AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label DESC NULLS LAST) = 1), s AS (SELECT q.vec_id query, v.vec_id doc, v.label, round_even(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), lambda a, b: a + b), 4) score FROM v, v q WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)"
 
 QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_idf_floored, bm25_top10, dense_top10, dense_best_of_label, dense_norms, rrf_top10, gold_slot_hits, gold_metrics, gold_by_stratum, gold_carriers, gold_slot_overlaps, known_item_rank1)}
 SQL = {
@@ -159,7 +158,7 @@ SQL = {
     "bm25_top10": f"{_BASE} SELECT query AS item_id, CAST(rank AS INT) AS rank, doc AS chunk_id, score FROM ({_top(_scores(_Q, 'idf_nonneg'), 10)})",
     "dense_top10": f"{_V} SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INT) AS rank, doc, score FROM s QUALIFY rank <= 10",
     "dense_best_of_label": f"{_V} SELECT query, label, doc, score FROM s QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY score DESC, doc) = 1",
-    "dense_norms": "WITH v AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id) = 1) SELECT count(*) AS n, count(*) FILTER (abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 1e-3) AS off_unit, CAST(max(len(embedding)) AS INT) AS dims FROM v",
+    "dense_norms": "WITH v AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label DESC NULLS LAST) = 1) SELECT count(*) AS n, count(*) FILTER (abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 1e-3) AS off_unit, CAST(max(len(embedding)) AS INT) AS dims FROM v",
     "rrf_top10": f"{_BASE}, u AS (SELECT query, doc, rank FROM ({_top(_scores(_Q, 'idf_nonneg'), 100)}) UNION ALL SELECT query, doc, rank FROM ({_top(_scores(_Q, 'idf_plain'), 100)})), f AS (SELECT query, doc, CAST(sum(CAST(1 / (60 + rank) AS DECIMAL(28,12))) AS DOUBLE) score FROM u GROUP BY query, doc) SELECT query AS item_id, CAST(rank AS INT) AS rank, doc AS chunk_id, round_even(score, 9) AS score FROM ({_top('SELECT * FROM f', 10)})",
     "gold_slot_hits": f"{_R} SELECT query AS item_id, slot_index, first_rank IS NOT NULL AS satisfied, CAST(first_rank AS DOUBLE) AS first_rank, first_chunk FROM h",
     "gold_metrics": f"{_M} SELECT item_id, precision_at_10, recall_at_10, mrr, ndcg_at_10 FROM m",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
+from sextant.operators.grounding import newest_answers
 from sextant.plans.common import C, DOC_TOKENS, NORM, TOKENS, chunks
 from sextant.sources.tables import table
 
@@ -51,18 +52,18 @@ def text_codepoints(spark, d):
 
 
 def text_claim_units(spark, d):
-    a = table(spark, d, "answers").select("custom_id", T.answer_text(F.col("response")).alias("a")).filter("a IS NOT NULL").distinct()
+    a = newest_answers(table(spark, d, "answers")).select("custom_id", T.answer_text(F.col("response")).alias("a")).filter("a IS NOT NULL")
     return a.select("custom_id", F.posexplode(T.claim_units(F.col("a"))).alias("pos", "unit"))
 
 
 def text_response_class(spark, d):
-    a = table(spark, d, "answers").select("custom_id", T.answer_text(F.col("response")).alias("a")).distinct()
+    a = newest_answers(table(spark, d, "answers")).select("custom_id", T.answer_text(F.col("response")).alias("a"))
     return a.groupBy(T.response_class(F.col("a")).alias("response_class")).agg(F.count("*").alias("n"))
 
 
 _SEG = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 _LEX = f"trim(regexp_replace(regexp_replace(lower({NORM}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
-_ANS = "SELECT DISTINCT custom_id, array_to_string(list_transform(list_filter(response.message.content, lambda b: b.type = 'text'), lambda b: coalesce(b.text, '')), '') a FROM answers"
+_ANS = "SELECT custom_id, array_to_string(list_transform(list_filter(response.message.content, lambda b: b.type = 'text'), lambda b: coalesce(b.text, '')), '') a FROM answers WHERE custom_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY custom_id ORDER BY collected_at DESC NULLS LAST, body_sha256 DESC NULLS LAST) = 1"
 
 QUERIES = {f.__name__: f for f in (text_primary_tokens, text_document_tokens, text_norm_comparison, text_lexical_forms, text_segments, text_segment_funnel, text_codepoints, text_claim_units, text_response_class)}
 SQL = {

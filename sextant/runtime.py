@@ -15,11 +15,13 @@ _KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a
-    temporary folder is made and set for the rest of the session.
+    Read from ``spark.checkpoint.dir``; only where that is unset a temporary folder is made and set for the rest
+    of the session, in local mode. On a cluster no machine's own folder would do, so an unset one raises.
     """
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} has to name a folder all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set(_KEY, found)
     return found
@@ -40,6 +42,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing will read again."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan; exact for materialised tables up to compression."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
