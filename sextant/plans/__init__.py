@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sextant.plans import attribution, frames, graph, grounding, orphans, retrieval, text
+from sextant.plans import attribution, frames, graph, grounding, layers, orphans, printed, retrieval, text
 
-MODULES = [text, retrieval, graph, grounding, attribution, frames, orphans]
+MODULES = [text, retrieval, graph, grounding, attribution, frames, printed, layers, orphans]
 
 
 def queries() -> dict:

@@ -122,30 +122,11 @@ def comparable_set(spark, d):
     return _block(g.join(both, "query_id", "left_semi").groupBy("condition"))
 
 
-def fate_table(spark, d):
-    """Ungrounded units of one answer tier that another answer of the same query repeats word for word, or not."""
-    v = G.unit_verdicts(_answers(spark, d), _requests(spark, d))
-    r = _requests(spark, d).select("custom_id", "query_id", F.split("custom_id", "__")[2].alias("tier"))
-    u = v.join(r, "custom_id").select("custom_id", "query_id", "tier", T.norm_comparison(F.col("unit")).alias("u"), "grounded")
-    other = u.select("query_id", "u", F.col("custom_id").alias("o"), F.col("grounded").alias("og"))
-    f = u.filter("NOT grounded").join(other, ["query_id", "u"], "left").groupBy("tier", "custom_id", "u").agg(F.max((F.col("o") != F.col("custom_id")).cast("int")).alias("again"), F.max(((F.col("o") != F.col("custom_id")) & F.col("og")).cast("int")).alias("now"))
-    one = F.lit(1)
-    return f.groupBy("tier").agg(F.count("*").alias("flagged_in"), F.sum("again").alias("repeated"), F.sum("now").alias("now_grounded"), F.sum(one - F.col("again")).alias("dropped"))
-
-
-def cost_latency(spark, d):
-    """Tokens, exact decimal cost and the longest latency per tier."""
+def token_latency(spark, d):
+    """Tokens read and written, and the longest latency, per tier."""
     q = _requests(spark, d).select("custom_id", "created_at")
     g = _graded(spark, d).join(q, "custom_id")
-    cost = (F.sum("tin") * F.lit("0.0000010").cast("decimal(18,7)") + F.sum("tout") * F.lit("0.0000050").cast("decimal(18,7)")).cast("decimal(18,7)")
-    return g.groupBy("tier").agg(F.sum("tin").alias("input_tokens"), F.sum("tout").alias("output_tokens"), cost.cast("string").alias("cost"), F.max(F.unix_timestamp("collected_at") - F.unix_timestamp("created_at")).alias("latency_s"))
-
-
-def predictions(spark, d):
-    """Boolean rules over the pooled counts; null where the rule cannot be scored."""
-    p = _block(_graded(spark, d).groupBy("condition"))
-    w = p.agg(*[F.max(F.when(F.col("condition") == c, F.col("rate"))).alias(c) for c in ("raw", "second_call", "no_context")])
-    return w.select(F.expr("stack(3, 'no context worse than raw', no_context > raw, 'second call not worse than raw', second_call <= raw + 0.03, 'raw above zero', raw > 0) AS (rule, holds)"))
+    return g.groupBy("tier").agg(F.sum("tin").alias("input_tokens"), F.sum("tout").alias("output_tokens"), F.max(F.unix_timestamp("collected_at") - F.unix_timestamp("created_at")).alias("latency_s"))
 
 
 def _overlaps(spark, d):
@@ -183,7 +164,7 @@ def foreign_alignment(spark, d):
     return v.join(foreign, ["custom_id", "pos"]).crossJoin(rows).select("custom_id", "pos", "foreign_rows", F.bround("overlap_max", 6).alias("own_max"), F.bround("foreign_max", 6).alias("foreign_max"), margin.alias("margin"), (F.col("overlap_max") > F.col("foreign_max")).alias("beats"))
 
 
-QUERIES = {f.__name__: f for f in (references, context_blocks, resolved_units, absent_units, unresolved_references, augmented_context, context_sizes, layer_recall, window_scores, crosscheck_disagreements, answer_grading, flagged_units, rates_by_tier, rates_pooled, rates_by_stratum, comparable_set, fate_table, cost_latency, predictions, alignment_summary, alignment_histogram, alignment_gaps, foreign_alignment)}
+QUERIES = {f.__name__: f for f in (references, context_blocks, resolved_units, absent_units, unresolved_references, augmented_context, context_sizes, layer_recall, window_scores, crosscheck_disagreements, answer_grading, flagged_units, rates_by_tier, rates_pooled, rates_by_stratum, comparable_set, token_latency, alignment_summary, alignment_histogram, alignment_gaps, foreign_alignment)}
 
 _B = r"""WITH r AS (SELECT * FROM requests WHERE custom_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY custom_id ORDER BY created_at DESC NULLS LAST, user_text DESC NULLS LAST) = 1),
 x AS (SELECT custom_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(user_text, '(?s)\n*Question:.*$', ''), '(?s)^\s*Extracts:\s*', ''), '\n\n\[', chr(1) || '[', 'g'), chr(1)), lambda b: regexp_matches(b, '^\[[^\]]+\]')) p FROM r),
@@ -233,9 +214,7 @@ SQL |= {
     "rates_pooled": f"{_U} SELECT condition, tier, {_BL} FROM gr GROUP BY ROLLUP (condition, tier)",
     "rates_by_stratum": f"{_U}, g AS (SELECT condition, query_set, {_BL} FROM gr GROUP BY ALL) SELECT c.condition, s.query_set, coalesce(n_rows, 0) AS n_rows, coalesce(n_units, 0) AS n_units, coalesce(n_ungrounded, 0) AS n_ungrounded, rate, coalesce(answered, 0) AS answered FROM (SELECT DISTINCT condition FROM r) c CROSS JOIN (SELECT DISTINCT query_set FROM r) s LEFT JOIN g ON g.condition = c.condition AND g.query_set = s.query_set",
     "comparable_set": f"{_U}, a2 AS (SELECT * FROM gr WHERE n_units > 0 AND condition IN ('raw', 'second_call')) SELECT condition, {_BL} FROM a2 WHERE query_id IN (SELECT query_id FROM a2 GROUP BY 1 HAVING count(DISTINCT condition) = 2) GROUP BY condition",
-    "fate_table": f"{_U}, w AS (SELECT vd.custom_id, r.query_id, split_part(vd.custom_id, '__', 3) tier, {NORM.format('unit')} u, grounded FROM vd JOIN r USING (custom_id)), f AS (SELECT DISTINCT tier, custom_id, query_id, u FROM w WHERE NOT grounded), z AS (SELECT f.*, (SELECT count(*) FROM w o WHERE o.query_id = f.query_id AND o.u = f.u AND o.custom_id <> f.custom_id) > 0 again, (SELECT count(*) FROM w o WHERE o.query_id = f.query_id AND o.u = f.u AND o.custom_id <> f.custom_id AND o.grounded) > 0 now FROM f) SELECT tier, count(*) AS flagged_in, count(*) FILTER (again) AS repeated, count(*) FILTER (now) AS now_grounded, count(*) FILTER (NOT again) AS dropped FROM z GROUP BY tier",
-    "cost_latency": f"{_U} SELECT tier, CAST(sum(tin) AS BIGINT) AS input_tokens, CAST(sum(tout) AS BIGINT) AS output_tokens, CAST(CAST(sum(tin) * 0.0000010::DECIMAL(18,7) + sum(tout) * 0.0000050::DECIMAL(18,7) AS DECIMAL(18,7)) AS VARCHAR) AS cost, max(CAST(floor(epoch(collected_at)) AS BIGINT) - CAST(floor(epoch(created_at)) AS BIGINT)) AS latency_s FROM gr GROUP BY tier",
-    "predictions": f"{_U}, p AS (SELECT condition, {_BL} FROM gr GROUP BY condition), w AS (SELECT max(rate) FILTER (condition = 'raw') a, max(rate) FILTER (condition = 'second_call') b, max(rate) FILTER (condition = 'no_context') c FROM p) SELECT 'no context worse than raw' AS rule, c > a AS holds FROM w UNION ALL SELECT 'second call not worse than raw', b <= a + 0.03 FROM w UNION ALL SELECT 'raw above zero', a > 0 FROM w",
+    "token_latency": f"{_U} SELECT tier, CAST(sum(tin) AS BIGINT) AS input_tokens, CAST(sum(tout) AS BIGINT) AS output_tokens, max(CAST(floor(epoch(collected_at)) AS BIGINT) - CAST(floor(epoch(created_at)) AS BIGINT)) AS latency_s FROM gr GROUP BY tier",
     "alignment_summary": f"{_V6} SELECT count(*) AS n, min(v) AS least, round_even(quantile_cont(v, 0.25), 6) AS q25, round_even(quantile_cont(v, 0.5), 6) AS median, round_even(quantile_cont(v, 0.75), 6) AS q75, round_even(quantile_cont(v, 0.95), 6) AS q95, max(v) AS most, round_even(CAST(sum(CAST(v AS DECIMAL(18,6))) AS DOUBLE) / count(*), 5) AS mean, count(*) FILTER (v = 0) AS zeros FROM v",
     "alignment_histogram": f"{_V6}, h AS (SELECT CAST(least(floor(round_even(v / 0.05, 6)), 19) AS INT) bin, count(*) n FROM v GROUP BY 1) SELECT CAST(x.bin AS INT) AS bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(20)) bin) x LEFT JOIN h ON h.bin = x.bin",
     "alignment_gaps": f"{_V6}, g AS (SELECT v AS below, lead(v) OVER (ORDER BY v) above FROM (SELECT DISTINCT v FROM v)) SELECT below, above, round_even(above - below, 6) AS gap FROM g WHERE above IS NOT NULL ORDER BY gap DESC, below LIMIT 5",

@@ -70,9 +70,36 @@ def dense_norms(spark, d):
     return v.agg(F.count("*").alias("n"), F.sum((F.abs(norm - 1) > 1e-3).cast("long")).alias("off_unit"), F.max(F.size("embedding")).alias("dims"))
 
 
+def _both(spark, d):
+    """The queries' scores under both idf variants, over postings that are made once."""
+    docs, q = _docs(spark, d), _query_terms(spark, d)
+    post = materialise(R.postings(docs, "chunk_id", "text", only=q))
+    dl, stats = R.lengths(docs, "chunk_id", "text"), materialise(R.term_statistics(post, _n(docs)))
+    return [R.bm25(q, post, dl, stats.select("term", F.col(i).alias("idf"))) for i in ("idf_nonneg", "idf_plain")]
+
+
 def rrf_top10(spark, d):
-    arms = [R.ranked(_lexical(spark, d, i), R.DEPTH) for i in ("idf_nonneg", "idf_plain")]
-    return R.fuse(*arms).select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("chunk_id"), F.bround("score", 9).alias("score"))
+    """Two lexical arms of one set of postings, fused."""
+    return R.fuse(*[R.ranked(s, R.DEPTH) for s in _both(spark, d)]).select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("chunk_id"), F.bround("score", 9).alias("score"))
+
+
+def _documents(spark, d):
+    return latest(table(spark, d, "documents").select("doc_id", "title", "text", "collected_at"), "doc_id", ["collected_at", "text"])
+
+
+def hybrid_top10(spark, d):
+    """Texts and vectors together: documents whose id is divisible by 100 ask with their title and their vector for all others.
+
+    The lexical arm ranks the documents by BM25, the dense arm the vectors of the same ids; ranks are fused, and what one
+    arm lacks adds nothing for it.
+    """
+    docs, v = _documents(spark, d), _vectors(spark, d)
+    q = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode(T.primary_tokens(F.col("title"))).alias("term"))
+    post = materialise(R.postings(docs, "doc_id", "text", only=q))
+    idf = R.term_statistics(post, _n(docs)).select("term", F.col("idf_nonneg").alias("idf"))
+    lexical = R.bm25(q, post, R.lengths(docs, "doc_id", "text"), idf).filter("query <> doc")
+    dense = R.dense(v, v.filter("vec_id % 100 = 0"))
+    return R.fuse(R.ranked(lexical, R.DEPTH), R.ranked(dense, R.DEPTH)).select("query", "rank", "doc", F.bround("score", 9).alias("score"))
 
 
 def _ranking(spark, d):
@@ -151,7 +178,11 @@ m AS (SELECT i.item_id, i.type, CASE WHEN n > 0 THEN round_even(coalesce(p, 0),
   round_even(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda k: 1.0 / log2(k + 1))), 6) ndcg_at_10 FROM i LEFT JOIN g ON g.query = i.item_id LEFT JOIN mt ON mt.query = i.item_id)"""
 _V = "WITH v AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label DESC NULLS LAST) = 1), s AS (SELECT q.vec_id query, v.vec_id doc, v.label, round_even(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), lambda a, b: a + b), 4) score FROM v, v q WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)"
 
-QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_idf_floored, bm25_top10, dense_top10, dense_best_of_label, dense_norms, rrf_top10, gold_slot_hits, gold_metrics, gold_by_stratum, gold_carriers, gold_slot_overlaps, known_item_rank1)}
+_D = _BASE.replace(f"WITH {C}", "WITH c AS (SELECT doc_id chunk_id, title, text FROM documents WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY collected_at DESC NULLS LAST, text DESC NULLS LAST) = 1)")
+_HYBRID = f"""{_D}, la AS ({_top('SELECT * FROM (' + _scores(f"SELECT chunk_id query, unnest({TOKENS.format('title')}) term FROM c WHERE chunk_id % 100 = 0", 'idf_nonneg') + ') WHERE query <> doc', 100)}),
+v AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label DESC NULLS LAST) = 1), da AS ({_top('SELECT q.vec_id query, v.vec_id doc, round_even(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), lambda a, b: a + b), 4) score FROM v, v q WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id', 100)}),
+u AS (SELECT query, doc, rank FROM la UNION ALL SELECT query, doc, rank FROM da), f AS (SELECT query, doc, CAST(sum(CAST(1 / (60 + rank) AS DECIMAL(28,12))) AS DOUBLE) score FROM u GROUP BY query, doc)"""
+QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_idf_floored, bm25_top10, dense_top10, dense_best_of_label, dense_norms, rrf_top10, hybrid_top10, gold_slot_hits, gold_metrics, gold_by_stratum, gold_carriers, gold_slot_overlaps, known_item_rank1)}
 SQL = {
     "bm25_term_stats": f"{_BASE} SELECT term, df, round_even(idf_nonneg, 6) AS idf_nonneg, round_even(idf_plain, 6) AS idf_plain FROM st",
     "bm25_idf_floored": f"{_BASE}, s AS (SELECT term, round_even(idf_plain, 9) x FROM st), m AS (SELECT CAST(sum(CAST(x AS DECIMAL(28,9))) AS DOUBLE) / count(*) m FROM s) SELECT term, round_even(CASE WHEN x < 0 THEN 0.25 * m ELSE x END, 5) AS idf FROM s, m",
@@ -160,6 +191,7 @@ SQL = {
     "dense_best_of_label": f"{_V} SELECT query, label, doc, score FROM s QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY score DESC, doc) = 1",
     "dense_norms": "WITH v AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label DESC NULLS LAST) = 1) SELECT count(*) AS n, count(*) FILTER (abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 1e-3) AS off_unit, CAST(max(len(embedding)) AS INT) AS dims FROM v",
     "rrf_top10": f"{_BASE}, u AS (SELECT query, doc, rank FROM ({_top(_scores(_Q, 'idf_nonneg'), 100)}) UNION ALL SELECT query, doc, rank FROM ({_top(_scores(_Q, 'idf_plain'), 100)})), f AS (SELECT query, doc, CAST(sum(CAST(1 / (60 + rank) AS DECIMAL(28,12))) AS DOUBLE) score FROM u GROUP BY query, doc) SELECT query AS item_id, CAST(rank AS INT) AS rank, doc AS chunk_id, round_even(score, 9) AS score FROM ({_top('SELECT * FROM f', 10)})",
+    "hybrid_top10": f"{_HYBRID} SELECT query, CAST(rank AS INT) AS rank, doc, round_even(score, 9) AS score FROM ({_top('SELECT * FROM f', 10)})",
     "gold_slot_hits": f"{_R} SELECT query AS item_id, slot_index, first_rank IS NOT NULL AS satisfied, CAST(first_rank AS DOUBLE) AS first_rank, first_chunk FROM h",
     "gold_metrics": f"{_M} SELECT item_id, precision_at_10, recall_at_10, mrr, ndcg_at_10 FROM m",
     "gold_by_stratum": f"{_M} SELECT type, count(*) AS n, " + ", ".join(f"round_even(CAST(sum(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) / count(*), 5) AS {c}" for c in ("precision_at_10", "recall_at_10", "mrr", "ndcg_at_10")) + " FROM m WHERE recall_at_10 IS NOT NULL GROUP BY GROUPING SETS ((type), ())",

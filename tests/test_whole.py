@@ -2,6 +2,8 @@
 
 import difflib
 import random
+import re
+from datetime import datetime as D
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from sextant.operators import attribution as A
 from sextant.operators import grounding as GR
+from sextant.operators import references as RF
 from sextant.operators import sampling as S
+from sextant.plans import printed
 from tests.schemas import ANSWERS, CHUNKS, ITEMS, LINES, REQUESTS, UNITS
 
 
@@ -82,6 +86,23 @@ def test_decomposition_joins_the_same_query(spark, tmp_path):
     assert got == [dict(query_set="test", tier="mid", n=3, fewer=3, delta=-5, abstained=1, abstained_ungrounded=2, abstained_units=2, ungrounded_removed=3, grounded_added=1, units_added=-2)]
 
 
+def test_second_call_against_the_first(spark, tmp_path):
+    held, lost, marker = "the model owner verifies logs", "nobody ever saw this printed", "I do not have enough information to answer this question."
+    cases = [("t_1", f"- {held}\n- {lost}", f"- {held}\n- {lost}"), ("t_2", f"- {lost}", f"- {held}"), ("t_3", marker, f"- {held}"), ("t_4", f"- {held}", marker), ("t_5", f"- {lost}", None)]
+    rows = [exchange(f"test__{c}__mid2__{q}", q, c, [f"{held} daily"], a) for q, *both in cases for c, a in zip(("raw", "second_call"), both) if a]
+    # an earlier delivery of an answer does not count
+    early = exchange("test__raw__mid2__t_1", "t_1", "raw", [f"{held} daily"], f"- {lost} long ago")
+    rows = [((*x[:-1], D(2024, 5, 1)), (*y[:-1], D(2024, 5, 1))) for x, y in rows] + [((*early[0][:-1], D(2024, 4, 1)), (*early[1][:-1], D(2024, 4, 1)))]
+    save(spark, tmp_path, "requests", [x for x, _ in rows], REQUESTS)
+    save(spark, tmp_path, "answers", [y for _, y in rows], ANSWERS)
+    save(spark, tmp_path, "units", [("d:art_1", "d", "article", None, None)], UNITS)
+    run = lambda name: [x.asDict() for x in E.queries()[name](spark, str(tmp_path)).collect()]
+    assert run("fate_table") == [dict(tier="mid2", flagged_in=2, repeated=1, now_grounded=0, still_unsupported=1, dropped=1)]
+    assert run("abstention_changes") == [dict(query_set="test", tier="mid2", n=4, recovered=1, recovered_ids="t_3", lost=1, lost_ids="t_4")]
+    assert {x["rule"]: x["holds"] for x in run("rules")}["second call abstains at least as often as raw"] is True
+    assert {(x["condition"], x["tier"]): x["abstaining"] for x in run("grading_blocks")}[None, None] == 2
+
+
 def quadratic(n, m, offset=0):
     picks = list(dict.fromkeys((offset + i * n // max(m, 1)) % n for i in range(min(m, n)))) if n else []
     far = lambda a, b: min((a - b) % n, (b - a) % n)
@@ -128,3 +149,27 @@ def test_lexical_attribution_takes_every_segment_however_spelled(spark, tmp_path
                 want.add((span, f"d:u{i}", 0, round(ratio, 4)))
     got = {tuple(x) for x in E.queries()["lexical_attribution"](spark, str(tmp_path)).collect()}
     assert got == want and {"d:u1", "d:u4"} <= {u for _, u, _, _ in want}
+
+
+def test_references_stand_where_their_places_say(spark):
+    text = "Article 5 and Articles 12 of the Treaty; see Annex IV, Ann. 2, GV-1.2--003 or GAUGE 1.3.\nArticle 5"
+    got = RF.printed(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string"), ["k"], "t").collect()
+    assert all(text[x["start"] : x["start"] + len(x["surface"])] == x["surface"] for x in got)
+    assert sorted((x["start"], x["kind"], x["external"]) for x in got) == [(0, "art", False), (14, "art", True), (45, "anx", False), (55, "anx", False), (63, "act", False), (78, "sub", False), (89, "art", False)]
+    names = spark.createDataFrame([("anx", "Annex IV"), ("anx", "Annex XC"), ("act", "GV1.2--003"), ("sub", "GAUGE  1.3"), ("art", "Art. 7")], "k string, s string")
+    assert [x["n"] for x in names.select(RF.unit_name(F.col("k"), F.col("s")).alias("n")).collect()] == ["anx_4", "anx_90", "act_GV-1.2-003", "sub_GAUGE_1.3", "art_7"]
+
+
+def test_cited_sentences_keep_their_places(spark, tmp_path):
+    texts = ["One is. Two are; Three went.\n\nFour (as is). five", "", None, "No end", "  Lead. (In brackets). ‘Quoted’ it"]
+    save(spark, tmp_path, "chunks", [(f"d:{i}", f"d:{i}", "d", "section", None, t, 0, None) for i, t in enumerate(texts)], CHUNKS)
+    got = sorted((x["chunk_id"], x["start"], x["n_chars"]) for x in printed.cited_sentences(spark, str(tmp_path)).collect())
+    want, cut = [], r"(?<=[.;])\s+(?=[A-Z‘“(])|\n+"
+    for i, t in enumerate(texts):
+        at = 0
+        for m in [*re.finditer(cut, t or ""), None]:
+            piece = (t or "")[at : m.start() if m else None]
+            if piece.strip():
+                want.append((f"d:{i}", at, len(piece)))
+            at = m.end() if m else at
+    assert got == sorted(want)
