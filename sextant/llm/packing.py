@@ -156,3 +156,13 @@ def fill(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     c = assigned.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
     t = c.agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"), F.max("used").alias("fullest"))
     return t.select("n_containers", "n_tokens", F.ceil(F.col("n_tokens") / capacity).alias("least_containers"), "fullest", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_containers") * capacity).alias("share_used"))
+
+
+def checked(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: documents placed, containers over the capacity, documents split though they fit, and documents whose pieces
+    leave out or repeat a token."""
+    over = assigned.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).filter(F.col("used") > capacity).agg(F.count("*").alias("n_over"))
+    d = assigned.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.min("token_start").alias("first"), F.max("token_end").alias("last"), F.countDistinct("token_start").alias("starts"))
+    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    whole = (F.col("first") == 0) & (F.col("last") == F.col("n")) & (F.col("starts") == F.col("k"))
+    return d.agg(F.count("*").alias("n_documents"), one((F.col("k") > 1) & (F.col("n") <= capacity)).alias("n_split_needlessly"), one(~whole).alias("n_not_whole")).crossJoin(F.broadcast(over))  # one row each

