@@ -345,14 +345,14 @@ def corrections(counts: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def read_words(bodies: DataFrame, broken: DataFrame) -> DataFrame:
-    """(line_id, at, part, word, before): the words of running text without the halves of broken ones; hyphenated words by part."""
+    """(line_id, at, part, word, before): the words of running text without the halves of broken ones; hyphenated words by part, without soft hyphens."""
     halves = broken.select("line_id", F.lit(True).alias("cut_last")).distinct()
     after = broken.select(F.col("next_id").alias("line_id"), F.lit(True).alias("cut_first")).distinct()
     t = bodies.join(halves, "line_id", "left").join(after, "line_id", "left").select("line_id", F.split(F.trim("body"), r"\s+").alias("t"), "cut_last", "cut_first")
     each = t.select("line_id", F.posexplode("t").alias("at", "tok"), F.size("t").alias("n"), "cut_last", "cut_first", F.col("t").alias("all"))
     kept = each.filter(~((F.col("at") == 0) & F.coalesce("cut_first", F.lit(False))) & ~((F.col("at") == F.col("n") - 1) & F.coalesce("cut_last", F.lit(False))))
     before = F.when(F.col("at") > 0, _clean(F.element_at("all", F.col("at").cast("int"))))
-    return kept.select("line_id", "at", before.alias("before"), F.posexplode(F.split(_clean(F.col("tok")), "-")).alias("part", "word")).filter(F.col("word") != "")
+    return kept.select("line_id", "at", before.alias("before"), F.posexplode(F.split(F.translate(_clean(F.col("tok")), "\xad\ufffe", ""), rf"[{HYPHENS}]")).alias("part", "word")).filter(F.col("word") != "")
 
 
 def misread_words(bodies: DataFrame, broken: DataFrame, counts: DataFrame) -> DataFrame:
