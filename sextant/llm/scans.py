@@ -175,15 +175,22 @@ def next_bodies(clean: DataFrame) -> DataFrame:
     )
 
 
-def word_counts(bodies: DataFrame, wordlist: DataFrame) -> DataFrame:
+def tokens(bodies: DataFrame) -> DataFrame:
+    """(line_id, at, n, word, before): the cleaned tokens of running text with their place, the line's number of them, and the one before."""
+    # a line is split and cleaned once: what comes out goes through a generator
+    once = bodies.select("line_id", F.explode(F.array(F.transform(F.split(F.trim("body"), r"\s+"), _clean))).alias("t"))
+    each = once.select("line_id", F.size("t").alias("n"), F.posexplode(F.arrays_zip(F.col("t").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))).alias("before"))).alias("at", "x"))
+    return each.select("line_id", "at", "n", F.col("x.word").alias("word"), F.col("x.before").alias("before"))
+
+
+def word_counts(said: DataFrame, wordlist: DataFrame) -> DataFrame:
     """(word, n, listed): how often each word stands inside a line, and whether the list has it; hyphenated words and their parts count.
 
     The first and last word of a line are no evidence, since they may be halves.
     """
-    toks = bodies.select(F.slice(F.split(F.trim("body"), r"\s+"), 2, F.greatest(F.size(F.split(F.trim("body"), r"\s+")) - 2, F.lit(0))).alias("t"))
-    w = toks.select(F.explode("t").alias("t")).select(_clean(F.col("t")).alias("w"))
-    parts = w.filter(F.col("w").contains("-")).select(F.explode(F.split("w", "-")).alias("w"))
-    n = w.unionByName(parts).filter("w <> ''").groupBy(F.col("w").alias("word")).agg(F.count("*").alias("n"))
+    w = said.filter((F.col("at") > 0) & (F.col("at") < F.col("n") - 1)).groupBy("word").agg(F.count("*").alias("n"))
+    parts = w.filter(F.col("word").contains("-")).select(F.explode(F.split("word", "-")).alias("word"), "n")
+    n = w.unionByName(parts).filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
     listed = wordlist.filter("word IS NOT NULL").select(F.lower("word").alias("word")).distinct().withColumn("listed", F.lit(True))
     return n.join(listed, "word", "full").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
@@ -344,25 +351,24 @@ def corrections(counts: DataFrame, seen: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def read_words(bodies: DataFrame, broken: DataFrame) -> DataFrame:
+def read_words(said: DataFrame, broken: DataFrame) -> DataFrame:
     """(line_id, at, part, word, before): the words of running text without the halves of broken ones; hyphenated words by part, without soft hyphens."""
-    halves = broken.select("line_id", F.lit(True).alias("cut_last")).distinct()
-    after = broken.select(F.col("next_id").alias("line_id"), F.lit(True).alias("cut_first")).distinct()
-    t = bodies.join(halves, "line_id", "left").join(after, "line_id", "left").select("line_id", F.split(F.trim("body"), r"\s+").alias("t"), "cut_last", "cut_first")
-    each = t.select("line_id", F.posexplode("t").alias("at", "tok"), F.size("t").alias("n"), "cut_last", "cut_first", F.col("t").alias("all"))
+    halves = broadcast_below(broken.select("line_id", F.lit(True).alias("cut_last")).distinct(), 32 << 20)
+    after = broadcast_below(broken.select(F.col("next_id").alias("line_id"), F.lit(True).alias("cut_first")).distinct(), 32 << 20)
+    each = said.join(halves, "line_id", "left").join(after, "line_id", "left")
     kept = each.filter(~((F.col("at") == 0) & F.coalesce("cut_first", F.lit(False))) & ~((F.col("at") == F.col("n") - 1) & F.coalesce("cut_last", F.lit(False))))
-    before = F.when(F.col("at") > 0, _clean(F.element_at("all", F.col("at").cast("int"))))
-    return kept.select("line_id", "at", before.alias("before"), F.posexplode(F.split(F.translate(_clean(F.col("tok")), "\xad\ufffe", ""), rf"[{HYPHENS}]")).alias("part", "word")).filter(F.col("word") != "")
+    parts = F.split(F.translate("word", "\xad\ufffe", ""), rf"[{HYPHENS}]")
+    return kept.select("line_id", "at", "before", F.posexplode(parts).alias("part", "word")).filter(F.col("word") != "")
 
 
-def misread_words(bodies: DataFrame, broken: DataFrame, counts: DataFrame) -> DataFrame:
+def misread_words(said: DataFrame, broken: DataFrame, counts: DataFrame) -> DataFrame:
     """(line_id, at, part, word, meant): misread words with the reading that fits best.
 
     Every word of running text is asked for, wherever in its line it stands. Candidates are ranked by whether known
     confusions explain them, by edits, by how often they follow the word before, by frequency, then by letters. Very short
     words, and words with a digit or sign no confusion explains, have to follow the word before somewhere else.
     """
-    words = read_words(bodies, broken)
+    words = materialise(read_words(said, broken))
     fixes = materialise(corrections(counts, words.groupBy("word").agg(F.count("*").alias("n"))))
     hit = materialise(words.join(fixes, words["word"] == fixes["seen"]))
     asked = broadcast_below(materialise(hit.select(F.col("before").alias("b"), F.col("meant").alias("m")).distinct()), 64 << 20)
@@ -377,9 +383,10 @@ def repaired(lines: DataFrame, wordlist: DataFrame) -> tuple[DataFrame, DataFram
     """(lines without furniture, bodies, broken words, misread words)."""
     clean = materialise(without_furniture(lines))
     bodies = materialise(next_bodies(clean))
-    counts = materialise(word_counts(bodies, wordlist))
+    said = materialise(tokens(bodies))
+    counts = materialise(word_counts(said, wordlist))
     broken = materialise(broken_words(bodies, counts))
-    return clean, bodies, broken, misread_words(bodies, broken, counts)
+    return clean, bodies, broken, misread_words(said, broken, counts)
 
 
 def noise(lines: DataFrame, wordlist: DataFrame) -> DataFrame:
