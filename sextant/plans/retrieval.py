@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
@@ -130,7 +131,11 @@ def gold_carriers(spark, d):
     """Distinct gold units per query, and the upper median, least and most over queries of a type."""
     s = R.gold_slots(_items(spark, d)).groupBy("query").agg(F.countDistinct("unit").alias("n"))
     j = _items(spark, d).select(F.col("item_id").alias("query"), "type").join(s, "query")
-    return j.groupBy("type").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.element_at(F.array_sort(F.collect_list("n")), (F.floor(F.count("*") / 2) + 1).cast("int")).alias("upper_median"))
+    # counted per type and value first: the running sums span distinct values, not queries
+    k = j.groupBy("type", "n").agg(F.count("*").alias("k"))
+    w = W.partitionBy("type")
+    r = k.withColumn("upto", F.sum("k").over(w.orderBy("n"))).withColumn("all", F.sum("k").over(w))
+    return r.groupBy("type").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n"))).alias("upper_median"))
 
 
 def gold_slot_overlaps(spark, d):
