@@ -70,6 +70,17 @@ def test_foreign_best_is_the_maximum_over_all_blocks():
         assert all(abs(x - y) < 1e-9 for x, y in zip(GR.foreign_best(units, blocks, wide), want))
 
 
+def test_foreign_alignment_copies_no_block_for_a_group(spark):
+    r = random.Random(7)
+    said = lambda n: [r.choice("abcdefgh") for _ in range(n)]
+    blocks = [(r.choice("pq"), said(r.randrange(0, 30))) for _ in range(150)]
+    units = [(f"c{i}", i, r.choice("pqr"), said(r.randrange(0, 9))) for i in range(60)]
+    want = {c: max((GR.window_score(u, b) for o, b in blocks if o != q or any(b == y and x != q for x, y in blocks)), default=0.0) for c, _, q, u in units}
+    got = GR.foreign_alignment(spark.createDataFrame(units, "custom_id string, pos int, query_id string, unit_tokens array<string>"), spark.createDataFrame(blocks, "query_id string, block_tokens array<string>"), 7, 40)
+    assert not re.search("CoGroup|Generate", got._jdf.queryExecution().executedPlan().toString())
+    assert {x["custom_id"]: round(x["foreign_max"], 9) for x in got.collect()} == {c: round(v, 9) for c, v in want.items()}
+
+
 def test_decomposition_joins_the_same_query(spark, tmp_path):
     held, lost, marker = "the model owner verifies logs", "nobody ever saw this printed", "I do not have enough information to answer this question."
     cases = [  # query, raw answer, second-call answer
