@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from sextant.functions import text as T
 from sextant.operators import attribution as A
 from sextant.operators import grounding as GR
 from sextant.operators import references as RF
+from sextant.operators import retrieval as R
 from sextant.operators import sampling as S
 from sextant.plans import printed
+from sextant.runtime import materialise
 from tests.schemas import ANSWERS, CHUNKS, ITEMS, LINES, REQUESTS, UNITS
 
 
@@ -184,3 +187,18 @@ def test_cited_sentences_keep_their_places(spark, tmp_path):
                 want.append((f"d:{i}", at, len(piece)))
             at = m.end() if m else at
     assert got == sorted(want)
+
+
+def test_best_documents_are_those_of_all_pairs(spark):
+    r = random.Random(8)
+    words = ["a", "b", "c-d", "e", "f"]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 7))) if i % 9 else None) for i in range(120)]
+    asked = [(i, t) for i, t in docs if i % 4 == 0 and t] + [(500, "a a zz")]
+    d = spark.createDataFrame(docs, "doc long, text string").repartition(5)
+    q = spark.createDataFrame(asked, "query long, text string").select("query", F.explode(T.primary_tokens(F.col("text"))).alias("term"))
+    post, n = R.postings(d, "doc", "text"), d.agg(F.count("*").alias("n_docs"))
+    pairs = R.bm25(q, post, R.lengths(d, "doc", "text"), R.term_statistics(post, n).select("term", F.col("idf_nonneg").alias("idf")))
+    indexed = materialise(d.select("doc", F.coalesce(F.size(T.primary_tokens(F.col("text"))), F.lit(0)).alias("dl"), T.document_tokens(F.col("text")).alias("tokens")))
+    for depth, others in ((1, False), (5, True), (200, True)):
+        want = sorted(map(tuple, R.ranked(pairs.filter("query <> doc") if others else pairs, depth).select("query", "doc", "score", "rank").collect()))
+        assert sorted(map(tuple, R.bm25_best(q, indexed, depth, others).select("query", "doc", "score", "rank").collect())) == want
