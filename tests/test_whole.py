@@ -202,3 +202,16 @@ def test_best_documents_are_those_of_all_pairs(spark):
     for depth, others in ((1, False), (5, True), (200, True)):
         want = sorted(map(tuple, R.ranked(pairs.filter("query <> doc") if others else pairs, depth).select("query", "doc", "score", "rank").collect()))
         assert sorted(map(tuple, R.bm25_best(q, indexed, depth, others).select("query", "doc", "score", "rank").collect())) == want
+
+
+def test_hybrid_writes_no_pairs_and_equals_sql(spark, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(R, "bm25", None)
+    monkeypatch.setattr(R, "postings", None)
+    d, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for t in ("chunks", "eval_queries"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    assert sorted(map(tuple, E.queries()["hybrid_top10"](spark, d).collect())) == sorted(c.execute(E.oracle_sql()["hybrid_top10"]).fetchall())
