@@ -55,21 +55,77 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - left.bit_count()
 
 
+def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``common_subsequence`` of one coded text with each row of ``b`` (codes, -1 behind the end), all rows at once, 63 letters a word."""
+    words = -(-len(a) // 63) or 1
+    at = np.zeros((words, int(max(a.max(initial=-1), b.max(initial=-1))) + 2), dtype=np.uint64)
+    for i, c in enumerate(a):
+        at[i // 63, c] |= np.uint64(1) << np.uint64(i % 63)
+    full = np.uint64((1 << 63) - 1)
+    left = [np.full(len(b), full) for _ in range(words)]
+    for c in np.ascontiguousarray(b.T):
+        carry = None
+        for w in range(words):
+            x = left[w]
+            u = x & at[w][c]
+            s = x + u if carry is None else x + u + carry
+            carry = s >> np.uint64(63) if w + 1 < words else None
+            left[w] = (s | (x ^ u)) & full
+    return sum((63 - np.bitwise_count(x).astype(np.int64) for x in left), np.zeros(len(b), dtype=np.int64))
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many codes each of ``a`` shares with each of ``b``, as multisets: products of the marks of every first, second, ... place of a code."""
+
+    def marks(x: np.ndarray) -> np.ndarray:
+        x = np.sort(x)
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = x[1:] != x[:-1]
+        at = np.arange(len(x))
+        return x * (1 << 20) + at - np.maximum.accumulate(np.where(new, at, 0)) if len(x) else x
+
+    ma, mb = [marks(x) for x in a], [marks(x) for x in b]
+    keys = np.unique(np.concatenate([*ma, np.zeros(0, dtype=np.int64)]))
+
+    def matrix(m: list[np.ndarray]) -> np.ndarray:
+        flat, row = np.concatenate([*m, np.zeros(0, dtype=np.int64)]), np.repeat(np.arange(len(m)), [len(x) for x in m])
+        col = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+        known = keys[col] == flat if len(keys) else np.zeros(len(flat), dtype=bool)
+        out = np.zeros((len(m), len(keys)), dtype=np.float32)
+        out[row[known], col[known]] = 1
+        return out
+
+    return matrix(ma) @ matrix(mb).T
+
+
 def alike(a: list[str], b: list[str], floor: float) -> list[tuple[str, str, float]]:
-    """(text of a, text of b, ratio) of all pairs whose matching ratio reaches ``floor``; bounds drop only pairs that cannot."""
+    """(text of a, text of b, ratio) of all pairs whose matching ratio reaches ``floor``; bounds drop only pairs that cannot.
+
+    Lengths, shared letters, shared pairs of letters (of m matched characters at least 3 m - n - 1 neighbours stay together,
+    n being both lengths), then common subsequences of one text with all that are left.
+    """
+    if not a or not b:
+        return []
     letters: dict[str, int] = {}
-    counts = [[letters.setdefault(c, len(letters)) for c in t] for t in [*a, *b]]
-    hist = np.array([np.bincount(x, minlength=len(letters) + 1) for x in (np.array(c, dtype=np.int64) for c in counts)], dtype=np.int16 if max(map(len, counts), default=0) < 1 << 15 else np.int32)
-    size = np.array([len(c) for c in counts])
-    ha, hb, sb, out = hist[: len(a)], hist[len(a) :], size[len(a) :], []
-    for x, h, n in zip(a, ha, size):
-        near = np.flatnonzero(2 * np.minimum(sb, n) >= floor * (sb + n) - 1e-9)
-        near = near[2 * np.minimum(hb[near], h).sum(axis=1, dtype=np.int64) >= floor * (sb[near] + n) - 1e-9]
-        for y in (b[i] for i in near):
-            if 2 * common_subsequence(x, y) >= floor * (len(x) + len(y)) - 1e-9:
-                r = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
-                if r >= floor:
-                    out.append((x, y, r))
+    ca, cb = ([np.array([letters.setdefault(c, len(letters)) for c in t], dtype=np.int64) for t in x] for x in (a, b))
+    na, nb = np.array([len(x) for x in ca]), np.array([len(x) for x in cb])
+    both = na[:, None] + nb[None, :]
+    need = floor * both / 2 - 1e-9
+    near = (np.minimum(na[:, None], nb[None, :]) >= need) & (shared_counts(ca, cb) >= need)
+    two = lambda x: x[:-1] * len(letters) + x[1:]
+    near &= shared_counts([two(x) for x in ca], [two(x) for x in cb]) >= 3 * need - both - 1
+    padded = np.full((len(b), int(nb.max())), -1, dtype=np.int64)
+    for i, x in enumerate(cb):
+        padded[i, : len(x)] = x
+    out = []
+    for i, x in enumerate(a):
+        some = np.flatnonzero(near[i])
+        if len(some):
+            some = some[common_subsequences(ca[i], padded[some, : nb[some].max()]) >= need[i, some]]
+        for y in (b[k] for k in some):
+            r = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+            if r >= floor:
+                out.append((x, y, r))
     return out
 
 
@@ -82,7 +138,7 @@ def lexical_attribution(spans: DataFrame, segments: DataFrame, gold: DataFrame,
     seg = segments.select("unit", "seg_no", T.lexical_form(F.col("segment")).alias("s"))
     sp = spans.select("span_id", T.lexical_form(F.col("span")).alias("p"))
     p, s = sp.select("p").dropna().distinct(), seg.select("s").dropna().distinct()
-    n_p, n_s = -(-p.count() // 1024) or 1, -(-s.count() // 2048) or 1
+    n_p, n_s = -(-p.count() // 1024) or 1, -(-s.count() // 8192) or 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     p = p.select("p", F.pmod(F.xxhash64("p"), F.lit(n_p)).cast("int").alias("i"), every(n_s).alias("j"))
     s = s.select("s", F.pmod(F.xxhash64("s"), F.lit(n_s)).cast("int").alias("j"), every(n_p).alias("i"))

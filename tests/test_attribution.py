@@ -1,5 +1,7 @@
 import difflib
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sextant.operators import attribution as A
@@ -41,3 +43,22 @@ def test_jsonl_sink_is_deterministic(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
     one, two = A.write_jsonl(df, str(tmp_path / "x"), "k"), A.write_jsonl(df.orderBy("v"), str(tmp_path / "y"), "k")
     assert one == two and A.same_rows(spark.read.json(str(tmp_path / "x")), spark.read.json(str(tmp_path / "y")))
+
+
+def test_common_subsequences_of_many_texts_at_once():
+    r = random.Random(9)
+    said = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    for n in (0, 1, 62, 63, 64, 130, 200):
+        a, b = said(n), [said(r.randrange(0, 150)) for _ in range(20)]
+        rows = np.full((20, 150), -1, dtype=np.int64)
+        for i, t in enumerate(b):
+            rows[i, : len(t)] = [ord(c) for c in t]
+        assert A.common_subsequences(np.array([ord(c) for c in a], dtype=np.int64), rows).tolist() == [A.common_subsequence(a, t) for t in b]
+
+
+def test_alike_drops_no_pair_by_its_bounds():
+    r = random.Random(10)
+    texts = ["", "a", "ab", *("".join(r.choice("ab c") for _ in range(r.choice([5, 20, 90]))) for _ in range(30))]
+    texts = [*{*texts, *("".join(r.choice("abx") if r.random() < 0.15 else c for c in t) for t in texts)}]
+    want = {(x, y) for x in texts for y in texts if difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= A.FLOOR}
+    assert {(x, y) for x, y, _ in A.alike(texts, texts, A.FLOOR)} == want
