@@ -215,3 +215,16 @@ def test_hybrid_writes_no_pairs_and_equals_sql(spark, monkeypatch):
     for t in ("chunks", "eval_queries"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     assert sorted(map(tuple, E.queries()["hybrid_top10"](spark, d).collect())) == sorted(c.execute(E.oracle_sql()["hybrid_top10"]).fetchall())
+
+
+def test_alignment_beats_counts_by_tier_without_copies_of_blocks(spark, tmp_path):
+    rows = [
+        exchange("test__raw__t__1", "q1", "raw", ["alpha beta gamma delta"], "Alpha beta gamma delta."),
+        exchange("test__raw__t__2", "q2", "raw", ["one two three four"], "Alpha beta gamma delta."),
+        exchange("test__raw__s__3", "q3", "raw", ["alpha beta gamma delta five"], "Alpha beta gamma delta."),
+    ]
+    save(spark, tmp_path, "requests", [x for x, _ in rows], REQUESTS)
+    save(spark, tmp_path, "answers", [y for _, y in rows], ANSWERS)
+    got = E.queries()["alignment_beats"](spark, str(tmp_path))
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {x["tier"]: (x["n_units"], x["beats"], x["ties"], x["below"]) for x in got.collect()} == {"t": (2, 0, 1, 1), "s": (1, 0, 1, 0), None: (3, 0, 2, 1)}
