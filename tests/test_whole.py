@@ -16,7 +16,7 @@ from sextant.operators import references as RF
 from sextant.operators import retrieval as R
 from sextant.operators import sampling as S
 from sextant.plans import printed
-from sextant.runtime import materialise
+from sextant.runtime import latest, latest_lean, materialise
 from tests.schemas import ANSWERS, CHUNKS, ITEMS, LINES, REQUESTS, UNITS
 
 
@@ -228,3 +228,28 @@ def test_alignment_beats_counts_by_tier_without_copies_of_blocks(spark, tmp_path
     got = E.queries()["alignment_beats"](spark, str(tmp_path))
     assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
     assert {x["tier"]: (x["n_units"], x["beats"], x["ties"], x["below"]) for x in got.collect()} == {"t": (2, 0, 1, 1), "s": (1, 0, 1, 0), None: (3, 0, 2, 1)}
+
+
+def test_foreign_alignment_shuffles_no_unit_and_passes_columns_on(spark):
+    r = random.Random(8)
+    said = lambda n: [r.choice("abcdefgh") for _ in range(n)]
+    blocks = [(r.choice(["p", "q", None]), said(r.randrange(0, 20))) for _ in range(90)]
+    units = [(f"c{i}", i, r.choice("pqr"), said(r.randrange(0, 7)), i / 8) for i in range(53)]
+    b = spark.createDataFrame(blocks, "query_id string, block_tokens array<string>")
+    for n in (53, 1):
+        u = spark.createDataFrame(units[:n], "custom_id string, pos int, query_id string, unit_tokens array<string>, own double").repartition(4)
+        got = GR.foreign_alignment(u, b, 7, 40)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        owners = lambda b: {x for x, y in blocks if y == b and x}
+        want = {c: (o, max((GR.window_score(t, y) for _, y in blocks if owners(y) != {q}), default=0.0)) for c, _, q, t, o in units[:n]}
+        assert {x["custom_id"]: (x["own"], round(x["foreign_max"], 9)) for x in got.collect()} == {c: (o, round(v, 9)) for c, (o, v) in want.items()}
+    assert GR.foreign_alignment(u.limit(0), b, 7, 40).count() == 0
+
+
+def test_latest_lean_equals_latest_and_moves_keys_only(spark):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), ("c", None, "u"), ("c", None, "v"), ("c", 1, None), (None, 5, "w"), ("d", None, None)]
+    for some in (rows, rows[2:3], []):
+        df = spark.createDataFrame(some, "key string, t int, text string")
+        want = sorted(map(str, latest(df, "key", ["t", "text"]).collect()))
+        got = latest_lean(df, "key", ["t", "text"])
+        assert sorted(map(str, got.collect())) == want and got.columns == df.columns
