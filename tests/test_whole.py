@@ -253,3 +253,19 @@ def test_latest_lean_equals_latest_and_moves_keys_only(spark):
         want = sorted(map(str, latest(df, "key", ["t", "text"]).collect()))
         got = latest_lean(df, "key", ["t", "text"])
         assert sorted(map(str, got.collect())) == want and got.columns == df.columns
+
+
+def test_hybrid_writes_asked_terms_only(spark, monkeypatch):
+    from sextant.plans import retrieval as P
+
+    written = []
+    monkeypatch.setattr(P, "materialise", lambda df: written.append((df, materialise(df))) or written[-1][1])
+    E.queries()["hybrid_top10"](spark, "/root/testdata/sf0.001")
+    asked = {x["term"] for x in written[0][1].select("term").distinct().collect()}
+    docs = written[1][1]
+    kept = {x["t"] for x in docs.select(F.explode("tokens").alias("t")).distinct().collect()}
+    assert kept and kept <= asked and "text" not in docs.columns
+    rows = spark.createDataFrame([(1, ["a", "b", "a-b", "a", "b"]), (2, None), (3, []), (4, ["b", "b"])], "doc long, tokens array<string>")
+    terms = spark.createDataFrame([("a",), ("a-b",), ("zz",)], "term string")
+    assert [(x["doc"], x["tokens"]) for x in R.only_terms(rows, terms).orderBy("doc").collect()] == [(1, ["a", "a-b", "a"]), (2, []), (3, []), (4, [])]
+    assert R.only_terms(rows, terms.limit(0)).filter("size(tokens) > 0").count() == 0
