@@ -246,7 +246,7 @@ def test_foreign_alignment_shuffles_no_unit_and_passes_columns_on(spark):
     assert GR.foreign_alignment(u.limit(0), b, 7, 40).count() == 0
 
 
-def test_latest_lean_equals_latest_and_moves_keys_only(spark):
+def test_latest_lean_equals_latest(spark):
     rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), ("c", None, "u"), ("c", None, "v"), ("c", 1, None), (None, 5, "w"), ("d", None, None)]
     for some in (rows, rows[2:3], []):
         df = spark.createDataFrame(some, "key string, t int, text string")
